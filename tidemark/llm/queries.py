@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, mixing
+from . import decontam, exact, mixing, tokens, toxicity
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +20,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return tokens.packed(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path(TOKENIZER))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -25,7 +36,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op7_decontaminate, op10_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_token_pack, op4_toxicity, op7_decontaminate, op10_mix)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
