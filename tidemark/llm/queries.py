@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, mixing, tokens, toxicity
+from . import decontam, exact, mixing, pii, tokens, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return tokens.packed(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path(TOKENIZER))
 
@@ -36,7 +40,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_token_pack, op4_toxicity, op7_decontaminate, op10_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_token_pack, op4_toxicity, op7_decontaminate, op10_mix)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
