@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, mixing, pii, tokens, toxicity
+from . import decontam, exact, mixing, near, pii, tokens, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -36,11 +36,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_token_pack, op4_toxicity, op7_decontaminate, op10_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_token_pack, op4_toxicity, op7_decontaminate, op8_near_dedup, op10_mix)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
