@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, exact, mixing, near, pii, tokens, toxicity
+from . import decontam, exact, lm, mixing, near, pii, secrets, tokens, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -32,6 +33,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,11 +49,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures(_table(spark, sf_dir, "pages")))
+    return found.select("record_id", "key", "found_id", "reason", F.col("headers").getItem("expires").alias("expires"), F.size("headers").cast("bigint").alias("n_headers"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_token_pack, op4_toxicity, op7_decontaminate, op8_near_dedup, op10_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_token_pack, op4_toxicity, op5_lm_score, op6_secret_scan, op7_decontaminate, op8_near_dedup, op9_warc_revisits, op10_mix)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
@@ -64,4 +78,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(l, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
         FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)""",
+    "op9_warc_revisits": r"""
+        WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, url, md5(coalesce(html, '')) AS tag FROM pages),
+        rec AS (
+            SELECT 'r' || page_id AS record_id, TRUE AS is_full, url, page_id * 10000 AS ts, tag AS etag, page_id % 2 = 0 AS dated, '0' AS expires FROM p
+            UNION ALL SELECT 'l' || page_id, FALSE, url, page_id * 10000 + 4000, CASE WHEN page_id % 7 = 0 THEN 'stale' ELSE tag END, FALSE, CAST(page_id AS VARCHAR) FROM p
+            UNION ALL SELECT 'e' || page_id, FALSE, url, page_id * 10000 - 1000, NULL, TRUE, NULL FROM p),
+        parts AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM rec),
+        keyed AS (SELECT *,
+            regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
+            || regexp_replace(regexp_extract(bare, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?]*([^?]*)', 1), '/+$', '')
+            || CASE WHEN regexp_extract(bare, '\?(.*)$', 1) <> '' THEN '?' || array_to_string(list_sort(string_split(regexp_extract(bare, '\?(.*)$', 1), '&')), '&') ELSE '' END AS key FROM parts),
+        seen AS (SELECT *, last_value(CASE WHEN is_full THEN {'id': record_id, 'etag': etag, 'dated': dated} END IGNORE NULLS)
+            OVER (PARTITION BY key ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM keyed),
+        said AS (SELECT *, CASE WHEN old IS NULL THEN 'no earlier response' WHEN etag IS NOT NULL AND old.etag <> etag THEN 'validator differs'
+            WHEN etag IS NULL AND NOT (dated AND old.dated) THEN 'no validator' ELSE 'resolved' END AS reason FROM seen WHERE NOT is_full)
+        SELECT record_id, key, CASE WHEN reason = 'resolved' THEN old.id END AS found_id, reason,
+               CASE WHEN reason = 'resolved' THEN coalesce(expires, '0') ELSE expires END AS expires,
+               CAST(CASE WHEN reason = 'resolved' THEN 3 + CAST(old.dated AS INT) WHEN etag IS NULL THEN 1 ELSE 3 END AS BIGINT) AS n_headers
+        FROM said""",
 }
