@@ -12,6 +12,7 @@ document, offset of each block) and ``FOOT``: documents, blocks, ids, offset of
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -32,7 +33,9 @@ MAGIC, FOOT = b"TMTOKEN1", struct.Struct("<6Q")
 BLOCK = 8192
 END_ID = 0
 #: Pieces of text whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
+#: Marks that often close a word.
+MARKS = ",."
 #: Two white-space characters side by side; texts with them are encoded whole.
 SPACES = re.compile(r"\s\s")
 #: Fixed value: the settings under which a white-space character always begins a new piece.
@@ -58,6 +61,15 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
     return (each.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32).astype("<u4")
 
 
+class Known(dict):
+    """Ids by piece; those of the batch at hand are found as well."""
+
+    batch: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.batch[piece]
+
+
 class Encoder:
     """Encodes texts as ``Tokenizer.encode`` does, but each distinct piece between spaces only once.
 
@@ -66,29 +78,32 @@ class Encoder:
     """
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has its core
         self.tokenizer = Tokenizer.from_str(spec)
         settings = json.loads(spec)
         before = settings.get("pre_tokenizer") or {}
         self.piecewise = all(before.get(k) == v for k, v in PIECEWISE.items()) and settings.get("normalizer") is None and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in settings.get("added_tokens", []))
-        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.known = {"": Known(), " ": Known()}
         self.line = self._raw(["\n"])[0]
+        self.marks = dict(zip(MARKS, self._raw(list(MARKS))))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, lead: str, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of the pieces, each behind ``lead``; long ones are forgotten again."""
+    def _learn(self, lead: str, pieces: set[str]) -> Known:
+        """Ids of the pieces, each behind ``lead``. A full store keeps what it has: frequent pieces come early."""
         known = self.known[lead]
-        new = list(pieces - known.keys())
-        if len(known) + len(new) > REMEMBERED:
-            self.known[lead] = known = {}
-            new = list(pieces)
-        made = dict(zip(new, self._raw([lead + p for p in new]))) if new else {}
-        if not any(len(p) > LONGEST for p in new):
-            known.update(made)
-            return known
-        known.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST)
-        return known | made
+        new = [p for p in pieces if p not in known]
+        # A closing comma or full stop is a piece of its own, so only the word before it is encoded.
+        closed = [p for p in new if p and p[-1] in MARKS and p[-2:-1].isalnum()]
+        apart = set(closed)
+        raw = [p for p in {p[:-1] for p in closed}.union(p for p in new if p not in apart) if p not in known]
+        made = dict(zip(raw, self._raw([lead + p for p in raw]))) if raw else {}
+        made.update((p, (made.get(p[:-1]) or known[p[:-1]]) + self.marks[p[-1]]) for p in closed)
+        if len(known) + len(made) <= REMEMBERED:
+            known.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST)
+        known.batch = made
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
@@ -191,8 +206,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bloc
         task = TaskContext.get()
         part, name, out = f"{folder}/.{task.partitionId():06d}-{task.taskAttemptId()}", f"{task.partitionId():06d}.ids", None
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                some = batch.slice(k, 128)
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
                 if out is None:
                     encoder = _encoder(sent.value)
                     store.create_dir(folder, recursive=True)
