@@ -8,8 +8,11 @@ from tidemark.llm import pipeline as steps
 from tidemark.llm.shared import stage
 
 STAGES = [
+    ("toxicity", steps.drop_toxic),
+    ("near_dedup", steps.drop_near_copies),
     ("decontaminate", steps.drop_leaks),
     ("mix", steps.mix_sources),
+    ("pack_tokens", steps.pack_tokens),
 ]
 
 #: No SQL can train a classifier or run a tokenizer; tests/llm holds the stages against brute force.
