@@ -20,8 +20,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; all others stay as they are."""
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Contaminated documents go, a passage of a single item is cut out, and all others stay as they are."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
