@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_ROWS, gram_hashes, small_join, stage, words
 
 WIDTH = 8
+#: A word's character, any other, and the places between the two.
+IN_WORD, OUTSIDE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+EDGES = f"(?<={IN_WORD})(?={OUTSIDE})|(?<={OUTSIDE})(?={IN_WORD})"
 #: A document with windows of this many items is contaminated.
 LEAST_ITEMS = 2
 
@@ -102,11 +105,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_items
     if not cut:
         return left.select(*names)
     both = small_join(left, seen.select("_key", "_found"), "_key", "left")
-    # Splitting at words gives the separators; the words between them come back by their number.
-    parts = F.split(F.coalesce("text", F.lit("")), r"(?<=[0-9A-Za-z\x{80}-\x{10FFFF}])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])|(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[0-9A-Za-z\x{80}-\x{10FFFF}])")
-    lead = F.when(F.element_at(parts, 1).rlike(r"^[0-9A-Za-z\x{80}-\x{10FFFF}]"), 0).otherwise(1)
-    number = lambda i: F.floor((i - lead) / 2)  # noqa: E731  of the word at or before part i
-    inside = lambda i: F.exists("_found", lambda x: (number(i) >= x["at"]) & (number(i) < x["at"] + x["len"]) & (((i - lead) % 2 == 0) | (number(i) + 1 < x["at"] + x["len"])))
-    kept = F.array_join(F.filter(F.transform(parts, lambda p, i: F.when(~inside(i), p)), lambda p: p.isNotNull()), "")
+    # Splitting at the ends of words gives words and separators in turn; what is split is bound once for the loops.
+    parts = F.split(F.coalesce("text", F.lit("")), EDGES)
+    lead = F.when(F.element_at(parts, 1).rlike(f"^{IN_WORD}"), 0).otherwise(1)
+
+    def uncut(v: Column) -> Column:
+        """The parts outside of hits: of every hit, its words and the separators between them go."""
+        first = lambda x: 2 * x["at"] + v["lead"]
+        inside = lambda i: F.exists(v["found"], lambda x: (i >= first(x)) & (i <= first(x) + 2 * (x["len"] - 1)))
+        return F.array_join(F.filter(v["parts"], lambda p, i: ~inside(i)), "")
+
+    kept = F.element_at(F.transform(F.array(F.struct(parts.alias("parts"), lead.alias("lead"), F.col("_found").alias("found"))), uncut), 1)
     text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(kept)
     return both.withColumn("text", text).filter(F.col("_found").isNull() | (F.size(words(F.col("text"))) > 0)).select(*names)
