@@ -1,0 +1,42 @@
+"""What flushes, merges and retention make of parts, as DataFrames (the database does the same to its files)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.labels import DAY_MS, day_of
+
+
+def candidates(parts: DataFrame, least: int) -> DataFrame:
+    """Days with ``least`` small parts or more, and how many: day, n_small."""
+    small = parts.filter("tier = 'small'").groupBy("day").agg(F.count(F.lit(1)).alias("n_small"))
+    return small.filter(F.col("n_small") >= max(1, least))
+
+
+def after_flushes(flushed: DataFrame, least: int) -> DataFrame:
+    """Parts that are left when flushes (day, flush, min_ts, max_ts, series_count, samples_count) came in order and
+    every ``least`` small parts of a day were merged at once: day, tier, n_flushes, min_ts, max_ts, samples_count.
+    """
+    at = F.row_number().over(W.partitionBy("day").orderBy("flush")) - 1
+    rows = flushed.withColumn("turn", F.floor(at / least)).withColumn("place", at)
+    groups = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("day", "turn")))
+    full = F.col("n") == least
+    key = F.when(full, F.lit(-1)).otherwise(F.col("place"))
+    merged = groups.withColumn("one", key).groupBy("day", "turn", "one").agg(F.first(F.when(full, "big").otherwise("small")).alias("tier"), F.count(F.lit(1)).alias("n_flushes"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.sum("samples_count").alias("samples_count"))
+    return merged.select("day", "tier", "n_flushes", "min_ts", "max_ts", "samples_count")
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Parts after a forced merge of small parts (two at least): day, tier, n_parts, min_ts, max_ts, samples_count."""
+    own = parts.withColumn("n", F.sum(F.when(F.col("tier") == "small", 1).otherwise(0)).over(W.partitionBy("day")))
+    goes = (F.col("tier") == "small") & (F.col("n") >= 2)
+    key = F.when(goes, F.lit("")).otherwise(F.col("part_id"))
+    rows = own.groupBy("day", key.alias("one")).agg(F.first(F.when(goes, "big").otherwise(F.col("tier"))).alias("tier"), F.count(F.lit(1)).alias("n_parts"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.sum("samples_count").alias("samples_count"))
+    return rows.drop("one")
+
+
+def live(rows: DataFrame, days: int, now_ms: int) -> DataFrame:
+    """Rows (with a column day) that retention keeps; the day of the cutoff stays, and 0 days keep everything."""
+    return rows if days <= 0 else rows.filter(F.col("day") >= day_of(F.lit(now_ms - days * DAY_MS).cast("bigint")))

@@ -1,10 +1,362 @@
-"""The queries of the metrics engine, and the same as DuckDB SQL."""
+"""The queries of the metrics engine over the test tables, and the same as DuckDB SQL.
+
+Two mappings make metrics of the tables: every event is a sample of ``event_<type>{user="<id>"}``, and every line item one of
+``lineitem_quantity{linestatus="..", returnflag=".."}`` (with many samples at the same time).
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import codec
+from ..functions.labels import day_of, iso_seconds, label, labels_of, millis, shown
+from ..operators import maintenance, ranges, registry
+from ..operators.selector import condition, parse
+from ..sources import json_import, remote_write
+from ..streaming import flush as streaming
+from .database import Config, Database
+
+DAY = 86_400_000
+JAN = 1_704_067_200_000  # 2024-01-01
+NOW = JAN + 30 * DAY
+FLUSHES, THRESHOLD, KEEP = 8, 3, 10
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, labels, ts_ms, value."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select("event_id", labels_of(metric=F.concat(F.lit("event_"), F.col("event_type")), user=F.col("user_id")).alias("labels"), millis(F.col("ts")).alias("ts_ms"), "value")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select(labels_of(metric=F.lit("lineitem_quantity"), linestatus=F.col("l_linestatus"), returnflag=F.col("l_returnflag")).alias("labels"), millis(F.col("l_shipdate")).alias("ts_ms"), F.col("l_quantity").alias("value"))
+
+
+def _series(samples: DataFrame) -> DataFrame:
+    return registry.resolve_new(registry.keys(samples), samples.sparkSession.createDataFrame([], "canonical_key string"), 0)
+
+
+def _points(samples: DataFrame, series: DataFrame) -> DataFrame:
+    return registry.with_ids(samples, series)
+
+
+def _flat(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.select("series_id", "metric", *[label(F.col("labels"), n).alias(n) for n in names], "ts_ms", "value")
+
+
+def _select(samples: DataFrame, selector: str, start: int, end: int, *names: str) -> DataFrame:
+    """The range query's operators over a table: matchers reach the scan, so only matching samples get numbers."""
+    matchers = parse(selector)
+    series = registry.matching(_series(samples), matchers)
+    points = _points(ranges.in_range(samples.filter(condition(matchers)), start, end), series)
+    rows = points.join(series.select("series_id", label(F.col("labels"), "__name__").alias("metric"), "labels"), "series_id")
+    return _flat(ranges.ordered(rows), *names)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Common table expressions: samples of events (e), their series (s), and both with day and flush (p).
+E = f"""e AS (SELECT event_id, 'event_' || event_type AS metric, CAST(user_id AS VARCHAR) AS "user", epoch_us(ts) // 1000 AS ts_ms, value FROM events),
+s AS (SELECT row_number() OVER (ORDER BY metric, "user") AS series_id, metric, "user" FROM (SELECT DISTINCT metric, "user" FROM e)),
+p AS (SELECT e.*, s.series_id, strftime(make_timestamp(ts_ms * 1000), '%Y%m%d') AS day, event_id % {FLUSHES} AS flush FROM e JOIN s USING (metric, "user")),
+f AS (SELECT day, flush, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts, count(DISTINCT series_id) AS series_count, count(*) AS samples_count FROM p GROUP BY day, flush)"""
+RANGE = 'SELECT series_id, metric, "user", ts_ms, value FROM p'
+
+
+def _query(sql: str | None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@_query(f"WITH {E} {RANGE} WHERE metric = 'event_click' AND ts_ms BETWEEN {JAN + DAY} AND {JAN + 2 * DAY}")
+def query_range_metric(spark, sf_dir):
+    return _select(_events(spark, sf_dir), "event_click", JAN + DAY, JAN + 2 * DAY, "user")
+
+
+@_query(f"WITH {E} {RANGE} WHERE \"user\" = '17' AND ts_ms BETWEEN {JAN} AND {NOW}")
+def query_range_labels_only(spark, sf_dir):
+    return _select(_events(spark, sf_dir), '{user="17"}', JAN, NOW, "user")
+
+
+@_query(f"WITH {E} {RANGE} WHERE metric = 'event_view' AND \"user\" = '17' AND ts_ms BETWEEN {JAN} AND {NOW}")
+def query_range_multi_matcher(spark, sf_dir):
+    return _select(_events(spark, sf_dir), 'event_view{user="17"}', JAN, NOW, "user")
+
+
+@_query(f"WITH {E} {RANGE} WHERE metric = 'event_view' AND \"user\" = ''")
+def query_range_empty(spark, sf_dir):
+    return _select(_events(spark, sf_dir), 'event_view{user=""}', JAN, NOW, "user")
+
+
+@_query(f"WITH {E} {RANGE} WHERE metric = 'event_error' AND ts_ms BETWEEN {JAN + 5 * DAY - 3_600_000} AND {JAN + 5 * DAY + 3_600_000}")
+def query_range_cross_day(spark, sf_dir):
+    return _select(_events(spark, sf_dir), "event_error", JAN + 5 * DAY - 3_600_000, JAN + 5 * DAY + 3_600_000, "user")
+
+
+@_query("""WITH d AS (SELECT l_linestatus AS linestatus, l_returnflag AS returnflag, epoch_us(l_shipdate) // 1000 AS ts_ms, l_quantity AS value FROM lineitem),
+s AS (SELECT row_number() OVER (ORDER BY linestatus, returnflag) AS series_id, linestatus, returnflag FROM (SELECT DISTINCT linestatus, returnflag FROM d))
+SELECT series_id, 'lineitem_quantity' AS metric, linestatus, returnflag, ts_ms, value FROM d JOIN s USING (linestatus, returnflag)
+WHERE returnflag = 'R' AND ts_ms BETWEEN 820454400000 AND 828316800000""")
+def query_range_duplicates_kept(spark, sf_dir):
+    return _select(_items(spark, sf_dir), 'lineitem_quantity{returnflag="R"}', 820_454_400_000, 828_316_800_000, "linestatus", "returnflag")
+
+
+@_query(f"WITH {E} {RANGE} WHERE metric = 'event_signup' AND ts_ms BETWEEN {JAN} AND {JAN + 3 * DAY}")
+def query_range_mem_and_disk_union(spark, sf_dir):
+    """A quarter of the events stand for the buffer, the rest for parts."""
+    rows = _events(spark, sf_dir)
+    series = registry.matching(_series(rows), parse("event_signup"))
+    points = [_points(rows.filter(c), series) for c in ("event_id % 4 = 0", "event_id % 4 != 0")]
+    return _flat(ranges.select(points[0].unionByName(points[1]), series, JAN, JAN + 3 * DAY), "user")
+
+
+@_query(f"WITH {E} SELECT series_id, '__name__' || chr(1) || metric || chr(2) || 'user' || chr(1) || \"user\" || chr(2) AS canonical_key, metric || '{{user=\"' || \"user\" || '\"}}' AS shown FROM s")
+def series_registry(spark, sf_dir):
+    return _series(_events(spark, sf_dir)).select("series_id", "canonical_key", shown(F.col("labels")).alias("shown"))
+
+
+@_query("""WITH e AS (SELECT DISTINCT 'event_' || event_type AS metric, CAST(user_id AS VARCHAR) AS "user", event_id % 10 = 0 AS early FROM events),
+a AS (SELECT row_number() OVER (ORDER BY metric, "user") AS series_id, metric, "user" FROM e WHERE early),
+b AS (SELECT (SELECT count(*) FROM a) + row_number() OVER (ORDER BY metric, "user") AS series_id, metric, "user" FROM (SELECT metric, "user" FROM e EXCEPT SELECT metric, "user" FROM a))
+SELECT * FROM a UNION ALL SELECT * FROM b""")
+def series_resolve_incremental(spark, sf_dir):
+    """A tenth of the events comes first; what the rest adds is numbered after it."""
+    rows = _events(spark, sf_dir)
+    early = _series(rows.filter("event_id % 10 = 0"))
+    late = registry.resolve_new(registry.keys(rows), early, registry.max_id(early))
+    return early.unionByName(late).select("series_id", label(F.col("labels"), "__name__").alias("metric"), label(F.col("labels"), "user").alias("user"))
+
+
+def _indexed(spark, sf_dir, rows=None):
+    rows = _events(spark, sf_dir) if rows is None else rows
+    series = _series(rows)
+    pairs = _points(rows, series).select(day_of(F.col("ts_ms")).alias("day"), "series_id").distinct()
+    return series, pairs, registry.inverted(pairs, series)
+
+
+@_query(f"""WITH {E} SELECT day, name || chr(1) || val AS label_key, name, val AS value, count(DISTINCT series_id) AS n_series, min(series_id) AS first_id, max(series_id) AS last_id
+FROM (SELECT day, series_id, '__name__' AS name, metric AS val FROM p UNION ALL SELECT day, series_id, 'user', "user" FROM p) GROUP BY ALL""")
+def inverted_index_postings(spark, sf_dir):
+    return registry.postings(_indexed(spark, sf_dir)[2])
+
+
+@_query(f"WITH {E} SELECT series_id FROM s WHERE metric = 'event_purchase' AND \"user\" = '17'")
+def match_series_ids(spark, sf_dir):
+    return registry.match(_indexed(spark, sf_dir)[2], parse('event_purchase{user="17"}'))
+
+
+@_query(f"WITH {E} SELECT day, series_id FROM p WHERE flush >= 4 EXCEPT SELECT day, series_id FROM p WHERE flush < 4")
+def inverted_index_unindexed_delta(spark, sf_dir):
+    points = _flushed(spark, sf_dir)
+    return registry.unindexed(points.filter("flush >= 4"), points.filter("flush < 4").select("day", "series_id").distinct())
+
+
+def _flushed(spark, sf_dir):
+    """series_id, ts_ms, value, day, flush: eight flushes, by event_id."""
+    rows = _events(spark, sf_dir)
+    keyed = rows.withColumn("canonical_key", registry.canonical_key(F.col("labels"))).join(_series(rows).select("series_id", "canonical_key"), "canonical_key")
+    return keyed.select("series_id", "ts_ms", "value", day_of(F.col("ts_ms")).alias("day"), (F.col("event_id") % FLUSHES).alias("flush"))
+
+
+def _parts(spark, sf_dir):
+    blocks = ranges.block_counts(_flushed(spark, sf_dir), "day", "flush")
+    return ranges.part_meta(blocks, "day", "flush").withColumn("tier", F.lit("small")).withColumn("part_id", F.lpad((F.col("flush") + 1).cast("string"), 6, "0"))
+
+
+@_query(f"WITH {E} SELECT day, count(DISTINCT flush) AS n_parts, count(*) AS n_samples, count(DISTINCT series_id) AS n_series FROM p GROUP BY day")
+def flush_day_partitions(spark, sf_dir):
+    return _flushed(spark, sf_dir).groupBy("day").agg(F.countDistinct("flush").alias("n_parts"), F.count(F.lit(1)).alias("n_samples"), F.countDistinct("series_id").alias("n_series"))
+
+
+@_query(f"WITH {E} SELECT day, lpad(CAST(flush + 1 AS VARCHAR), 6, '0') AS part_id, 'small' AS tier, min_ts, max_ts, series_count, samples_count FROM f")
+def part_meta(spark, sf_dir):
+    return _parts(spark, sf_dir).select("day", "part_id", "tier", "min_ts", "max_ts", "series_count", "samples_count")
+
+
+@_query(f"WITH {E} SELECT day, flush, samples_count FROM f WHERE max_ts >= {JAN + 3 * DAY + 7_200_000} AND min_ts <= {JAN + 4 * DAY + 600_000}")
+def parts_pruned_by_time(spark, sf_dir):
+    return ranges.pruned(_parts(spark, sf_dir), JAN + 3 * DAY + 7_200_000, JAN + 4 * DAY + 600_000).select("day", "flush", "samples_count")
+
+
+@_query(f"""WITH {E}, o AS (SELECT day, flush FROM f WHERE max_ts >= {JAN + 3 * DAY} AND min_ts <= {JAN + 5 * DAY - 1}),
+b AS (SELECT p.* FROM p JOIN o USING (day, flush) WHERE metric = 'event_click')
+SELECT (SELECT count(*) FROM o) AS parts_scanned, (SELECT count(*) FROM (SELECT DISTINCT day, flush, series_id FROM b)) AS blocks_scanned,
+(SELECT count(*) FROM b) AS points_scanned, (SELECT count(*) FROM b WHERE ts_ms BETWEEN {JAN + 3 * DAY} AND {JAN + 5 * DAY - 1}) AS points_returned""")
+def query_stats(spark, sf_dir):
+    rows, points = _events(spark, sf_dir), _flushed(spark, sf_dir)
+    start, end = JAN + 3 * DAY, JAN + 5 * DAY - 1
+    wanted = registry.matching(_series(rows), parse("event_click")).select("series_id")
+    blocks = ranges.block_counts(points, "day", "flush")
+    opened = ranges.pruned(ranges.part_meta(blocks, "day", "flush"), start, end).select("day", "flush")
+    own = blocks.join(opened, ["day", "flush"]).join(wanted, "series_id", "left_semi").agg(F.count(F.lit(1)).alias("blocks_scanned"), F.coalesce(F.sum("n"), F.lit(0)).alias("points_scanned"))
+    returned = ranges.in_range(points, start, end).join(wanted, "series_id", "left_semi").agg(F.count(F.lit(1)).alias("points_returned"))
+    return opened.agg(F.count(F.lit(1)).alias("parts_scanned")).join(own).join(returned)
+
+
+@_query(f"WITH {E} SELECT day, count(*) AS n_small FROM f GROUP BY day HAVING count(*) >= {FLUSHES}")
+def compaction_candidates(spark, sf_dir):
+    return maintenance.candidates(_parts(spark, sf_dir), FLUSHES)
+
+
+@_query(f"""WITH {E}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY flush) - 1 AS place, count(*) OVER (PARTITION BY day) AS k FROM f),
+g AS (SELECT *, place < k // {THRESHOLD} * {THRESHOLD} AS goes FROM r)
+SELECT day, CASE WHEN goes THEN 'big' ELSE 'small' END AS tier, count(*) AS n_flushes, min(min_ts) AS min_ts, max(max_ts) AS max_ts, CAST(sum(samples_count) AS BIGINT) AS samples_count
+FROM g GROUP BY day, goes, CASE WHEN goes THEN place // {THRESHOLD} ELSE place END""")
+def compaction_result_parts(spark, sf_dir):
+    return maintenance.after_flushes(_parts(spark, sf_dir), THRESHOLD)
+
+
+@_query(f"WITH {E} SELECT day, CASE WHEN count(*) > 1 THEN 'big' ELSE 'small' END AS tier, count(*) AS n_parts, min(min_ts) AS min_ts, max(max_ts) AS max_ts, CAST(sum(samples_count) AS BIGINT) AS samples_count FROM f GROUP BY day")
+def force_merge_result(spark, sf_dir):
+    return maintenance.merged(_parts(spark, sf_dir))
+
+
+@_query("SELECT epoch_us(l_shipdate) // 1000 AS ts_ms, l_quantity AS value, count(*) AS n FROM lineitem GROUP BY ALL")
+def compaction_preserves_samples(spark, sf_dir):
+    """Merging is a union that keeps every sample, repeated ones too."""
+    rows = _items(spark, sf_dir).select("ts_ms", "value")
+    parts = [rows.filter(F.pmod(F.xxhash64("ts_ms", "value"), F.lit(3)) == k) for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("ts_ms", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {E} SELECT day, count(*) AS n_samples FROM p WHERE day >= '20240121' GROUP BY day")
+def retention_live_days(spark, sf_dir):
+    return maintenance.live(_flushed(spark, sf_dir), KEEP, NOW).groupBy("day").agg(F.count(F.lit(1)).alias("n_samples"))
+
+
+@_query(f"WITH {E} {RANGE} WHERE metric = 'event_error' AND day >= '20240121'")
+def retention_query_after_drop(spark, sf_dir):
+    """Identities are those of all samples; only live days are left to read."""
+    rows, matchers = _events(spark, sf_dir), parse("event_error")
+    series = registry.matching(_series(rows), matchers)
+    kept = maintenance.live(rows.withColumn("day", day_of(F.col("ts_ms"))), KEEP, NOW)
+    return _flat(ranges.select(_points(kept.filter(condition(matchers)), series), series, JAN, NOW), "user")
+
+
+@_query(f"WITH {E} SELECT series_id FROM s WHERE series_id NOT IN (SELECT series_id FROM p WHERE day >= '20240121')")
+def retention_forgotten_series(spark, sf_dir):
+    """Identities stay, but series without a live day cannot be found."""
+    series, _, index = _indexed(spark, sf_dir)
+    return series.select("series_id").join(maintenance.live(index, KEEP, NOW), "series_id", "left_anti")
+
+
+@_query(f"""WITH {E} SELECT series_id, count(*) AS n, min(ts_ms) AS first_ts, arg_min(value, ts_ms) AS first_value, max(ts_ms) AS last_ts, arg_max(value, ts_ms) AS last_value,
+strftime(make_timestamp(min(ts_ms) * 1000), '%Y-%m-%dT%H:%M:%SZ') AS first_at FROM p GROUP BY series_id""")
+def inspect_series_summary(spark, sf_dir):
+    return ranges.summary(_flushed(spark, sf_dir)).withColumn("first_at", iso_seconds(F.col("first_ts")))
+
+
+@_query(f"""WITH {E} SELECT series_id, "at", ts_ms, value, greatest(n - 5, 0) AS more FROM (SELECT series_id, ts_ms, value, row_number() OVER (PARTITION BY series_id ORDER BY ts_ms, value) AS "at",
+count(*) OVER (PARTITION BY series_id) AS n FROM p) WHERE "at" <= 5""")
+def inspect_samples_limit(spark, sf_dir):
+    return ranges.first_samples(_flushed(spark, sf_dir), 5)
+
+
+@_query(f"""WITH {E}, d AS (SELECT series_id, ts_ms, ts_ms - lag(ts_ms) OVER w AS delta FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts_ms, value))
+SELECT series_id, ts_ms, delta, delta - coalesce(lag(delta) OVER (PARTITION BY series_id ORDER BY ts_ms), 0) AS dod FROM d WHERE delta IS NOT NULL""")
+def timestamp_delta_of_delta(spark, sf_dir):
+    by = W.partitionBy("series_id")
+    rows = _flushed(spark, sf_dir).select("series_id", "ts_ms", (F.col("ts_ms") - F.lag("ts_ms").over(by.orderBy("ts_ms", "value"))).alias("delta"))
+    return rows.filter("delta IS NOT NULL").withColumn("dod", F.col("delta") - F.coalesce(F.lag("delta").over(by.orderBy("ts_ms")), F.lit(0)))
+
+
+_SIZE = lambda n: "(1" + "".join(f" + CASE WHEN {n} >= {1 << 7 * k} THEN 1 ELSE 0 END" for k in range(1, 9)) + ")"
+
+
+@_query(f"""WITH {E}, d AS (SELECT series_id, ts_ms, ts_ms - lag(ts_ms) OVER (PARTITION BY series_id ORDER BY ts_ms) AS delta FROM p),
+z AS (SELECT series_id, delta - coalesce(lag(delta) OVER (PARTITION BY series_id ORDER BY ts_ms), 0) AS dod FROM d),
+c AS (SELECT series_id, CASE WHEN dod >= 0 THEN 2 * dod ELSE -2 * dod - 1 END AS coded FROM z)
+SELECT series_id, count(*) AS n, CAST({_SIZE("count(*)")} + 8 + sum(CASE WHEN coded IS NULL THEN 0 ELSE {_SIZE("coded")} END) AS BIGINT) AS n_bytes FROM c GROUP BY series_id""")
+def timestamp_block_bytes(spark, sf_dir):
+    return codec.timestamp_bytes(_flushed(spark, sf_dir))
+
+
+@_query(f"WITH {E} SELECT series_id, ts_ms, value FROM p")
+def value_block_roundtrip(spark, sf_dir):
+    """Encoded blocks of all series, decoded again."""
+    return codec.samples(codec.blocks(_flushed(spark, sf_dir)))
+
+
+@_query(f"WITH {E} SELECT series_id, ts_ms, value FROM p")
+def raw_block_roundtrip(spark, sf_dir):
+    return codec.samples(codec.blocks(_flushed(spark, sf_dir), "raw"), "raw")
+
+
+@_query(f"WITH {E} SELECT series_id, count(*) AS n, count(*) * 16 AS raw_bytes FROM p GROUP BY series_id")
+def raw_block_bytes(spark, sf_dir):
+    rows = codec.blocks(_flushed(spark, sf_dir), "raw")
+    return rows.select("series_id", "n", (F.length("timestamps") + F.length("values")).cast("bigint").alias("raw_bytes"))
+
+
+@_query(f"WITH {E} SELECT metric, \"user\", ts_ms, value FROM p WHERE metric <> 'event_view'")
+def remote_write_ingest(spark, sf_dir):
+    """Each user's samples as a request body, decoded again; views come without a metric name and are skipped."""
+    rows = _events(spark, sf_dir)
+
+    def bodies(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"content": [remote_write.encode([([(x["name"], x["value"]) for x in labels if not (x["name"] == "__name__" and x["value"] == "event_view")], [(s["ts_ms"], s["value"]) for s in samples])]) for labels, samples in zip(batch["labels"], batch["samples"])]})
+
+    made = rows.groupBy("labels").agg(F.collect_list(F.struct("ts_ms", "value")).alias("samples")).mapInPandas(bodies, "content binary")
+    back = remote_write.parse_bodies(made)
+    return back.select(label(F.col("labels"), "__name__").alias("metric"), label(F.col("labels"), "user").alias("user"), "ts_ms", "value")
+
+
+@_query(f"WITH {E} SELECT metric, \"user\", ts_ms, value FROM p")
+def json_import_ingest(spark, sf_dir):
+    """Each series' samples as an import body, read again."""
+    rows = _events(spark, sf_dir).groupBy(label(F.col("labels"), "__name__").alias("metric"), label(F.col("labels"), "user").alias("user")).agg(F.collect_list(F.struct(F.col("ts_ms").alias("t"), F.col("value").alias("v"))).alias("samples"))
+    made = rows.select(F.to_json(F.struct("metric", F.create_map(F.lit("user"), F.col("user")).alias("labels"), "samples")).alias("value"))
+    back = json_import.parse_json(made)
+    return back.select(label(F.col("labels"), "__name__").alias("metric"), label(F.col("labels"), "user").alias("user"), "ts_ms", "value")
+
+
+@_query(None)
+def matrix_response(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    series = registry.matching(_series(rows), parse("event_click"))
+    return ranges.matrix(ranges.select(_points(rows, series), series, JAN, NOW))
+
+
+def _database(spark, sf_dir):
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return Database(spark, f"{base.rstrip('/')}/db-{uuid.uuid4().hex}", Config(merge_threshold=2))
+
+
+@_query(f"WITH {E} {RANGE} WHERE metric = 'event_click' AND ts_ms BETWEEN {JAN + DAY} AND {JAN + 4 * DAY}")
+def database_round_trip(spark, sf_dir):
+    """Two flushes, which are merged at once, and a third of the events still in the buffer."""
+    db, rows = _database(spark, sf_dir), _events(spark, sf_dir)
+    for k in range(3):
+        db.ingest(rows.filter(F.col("event_id") % 3 == k).select("labels", "ts_ms", "value"))
+        if k < 2:
+            db.flush()
+    names = db.series().select(F.col("series_id").alias("_id"), (F.row_number().over(W.orderBy("canonical_key"))).cast("bigint").alias("at"))
+    out = _flat(db.query_range("event_click", JAN + DAY, JAN + 4 * DAY), "user")
+    return out.join(names, out["series_id"] == names["_id"]).select(F.col("at").alias("series_id"), "metric", "user", "ts_ms", "value")
+
+
+@_query(f"WITH {E} SELECT day, CAST(1 AS BIGINT) AS n_parts, count(*) AS samples_count FROM p GROUP BY day")
+def streaming_flush(spark, sf_dir):
+    """A stream of the events' file, one batch, one flush."""
+    db = _database(spark, sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = stream.select(labels_of(metric=F.concat(F.lit("event_"), F.col("event_type")), user=F.col("user_id")).alias("labels"), millis(F.col("ts")).alias("ts_ms"), "value")
+    streaming.start(db, rows, "events", f"{db.files.root}/checkpoint", once=True).awaitTermination()
+    return db.parts_meta().groupBy("day").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("samples_count").alias("samples_count"))
