@@ -123,8 +123,7 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, least:
     contexts = spans.select(_entity().alias("entity"), F.array_sort(F.array_distinct(beside)).alias("words")).distinct()
     joint = contexts.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
     joint = stage(joint, "pii-joint")
-    wanted = joint.select("term").distinct()
-    counts = small_join(docs.select(F.explode(F.array_distinct(terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term")), wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counts = docs.select(F.explode(F.array_distinct(terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     alone = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
     both = joint.join(counts, "term").join(alone, "entity").join(F.broadcast(total))
