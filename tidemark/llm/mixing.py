@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import small_join, stage
+from .shared import let, small_join, stage
 
 #: Fixed value: weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -57,11 +57,6 @@ def _draw(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 #: A document of a block: large ones first, so that what is left at the end tends to be a short one.
 UNIT = "struct<neg:bigint,doc_id:bigint,th:bigint,i:bigint,p:double>"
 EPS = 1e-9
@@ -88,11 +83,11 @@ def _fold(items: Column, seed: int) -> Column:
         up = F.least(sa * (1 - a["p"]), sx * x["p"])  # words that a can take from x
         down = F.least(sa * a["p"], sx * (1 - x["p"]))
         moves = F.struct(up.alias("up"), down.alias("down"), _draw(F.lit(seed), a["doc_id"], a["th"], a["i"], x["doc_id"], x["th"], x["i"]).alias("u"))
-        move = _let(moves, lambda m: F.when(m["u"] * (m["up"] + m["down"]) < m["down"], m["up"]).otherwise(-m["down"]))
-        return _let(move, lambda t: F.array(_with_p(a, _snap(a["p"] + t / sa)), _with_p(x, _snap(x["p"] - t / sx))))
+        move = let(moves, lambda m: F.when(m["u"] * (m["up"] + m["down"]) < m["down"], m["up"]).otherwise(-m["down"]))
+        return let(move, lambda t: F.array(_with_p(a, _snap(a["p"] + t / sa)), _with_p(x, _snap(x["p"] - t / sx))))
 
     def step(acc: Column, x: Column) -> Column:
-        settled = _let(
+        settled = let(
             pair(acc["live"], x),
             lambda both: F.struct(F.element_at(F.concat(F.filter(both, lambda d: ~_whole(d["p"])), F.array(F.lit(None).cast(UNIT))), 1).alias("live"), F.concat(acc["done"], F.filter(both, lambda d: _whole(d["p"]))).alias("done")),
         )

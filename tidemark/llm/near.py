@@ -8,10 +8,11 @@ registers, which keep their least point, and a process ends as soon as its point
 are equal with exactly the probability of the weighted Jaccard similarity.
 
 Candidates: ``BANDS`` bands of ``ROWS`` registers; texts that share a band share a bucket. Equal word sequences are
-one node. Within a bucket pairs are not all emitted: each round compares the members with one leader and merges
-classes by verified links; members of different classes that are left after ``STAR_ROUNDS`` rounds are compared pair by
-pair, so every link between members of a bucket is either verified or implied by others. Links are verified by
-multiset overlap of whole texts.
+one node. Within a bucket pairs are not all emitted. In each of ``PIVOTS`` rounds one member, the one farthest from the
+pivots so far, is compared with all others, and verified links merge classes; buckets with a single class are done.
+What is left of the others is compared in pairs of bounded blocks, without the pairs that distances to the pivots rule
+out. So every link between members of a bucket is verified, implied by others, or ruled out exactly. Similarities
+are multiset overlaps of whole texts.
 """
 
 from __future__ import annotations
@@ -19,16 +20,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import gram_hashes, small_join, stage, words
+from .shared import gram_hashes, let, small_join, stage, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
-STAR_ROUNDS = 4
+PIVOTS = 2
+#: Elements of a block of members that one task compares.
+BLOCK = 1_000_000
 
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -100,15 +104,15 @@ def band_keys(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return key.view(np.int64)
 
 
-def shingles(text: Column, n: int = SHINGLE) -> Column:
-    """Hashes of all runs of ``n`` words; of a shorter text, one hash of all its words."""
-    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
-    return F.when(F.size(hashes) >= n, gram_hashes(hashes, n)).when(F.size(hashes) > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
+def shingles(ws: Column, n: int = SHINGLE) -> Column:
+    """From words, hashes of all runs of ``n``; of fewer words, one hash of them all."""
+    some = lambda h: F.when(F.size(h) >= n, gram_hashes(h, n)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+    return let(F.transform(ws, lambda w: F.xxhash64(w)), some)
 
 
-def node(text: Column) -> Column:
+def node(ws: Column) -> Column:
     """Identity of a word sequence, 16 bytes."""
-    return F.unhex(F.md5(F.array_join(words(text), " ").cast("binary")))
+    return F.unhex(F.md5(F.array_join(ws, " ").cast("binary")))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -163,23 +167,73 @@ def components(edges: DataFrame) -> DataFrame:
     return comps.unionByName(comps.select(F.col("comp").alias("id"), "comp").distinct())
 
 
-def _verified(pairs: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough."""
+def _similar(pairs: DataFrame, els: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the weighted Jaccard similarity j of their multisets."""
     left, right = els.select(F.col("nid").alias("a"), F.col("els").alias("ea")), els.select(F.col("nid").alias("b"), F.col("els").alias("eb"))
-    small, large = F.least(F.size("ea"), F.size("eb")), F.greatest(F.size("ea"), F.size("eb"))
-    both = pairs.join(left, "a").join(right, "b").filter(small >= large * similarity)
-    shared = F.size(F.array_intersect("ea", "eb"))
-    return both.filter(shared >= (F.size("ea") + F.size("eb") - shared) * similarity).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.select("a", "b", F.size("ea").alias("na"), F.size("eb").alias("nb"), F.size(F.array_intersect("ea", "eb")).alias("i"))
+    return both.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("j"))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def _pairs(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _block_links(similarity: float):
+    """For two blocks of a bucket (``i`` equal to ``j``: one block), the links between members of different classes.
+
+    A pair is looked at in the first band that it shares, and only if its distances to all pivots allow a link (1 minus
+    the similarity is a metric). Links merge classes at once, and merged classes are not compared further.
+    """
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["block"].to_numpy()
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        bands = np.stack(group["bands"].to_numpy())
+        far = np.stack(group["far"].to_numpy())
+        nid, comp = group["nid"].to_numpy(), group["comp"].to_numpy().copy()
+        els = [np.sort(e) for e in group["els"]]
+        sizes = np.array([len(e) for e in els])
+        band = int(np.flatnonzero((bands == group["key"].iloc[0]).all(0))[0])
+        rows = np.flatnonzero(own == i)
+        found = []
+        for x in rows:
+            others = np.flatnonzero((own == j) & ((nid > nid[x]) if i == j else True) & (comp != comp[x]))
+            others = others[(np.abs(far[others] - far[x]) <= 1 - similarity + 1e-9).all(1) & (np.minimum(sizes[others], sizes[x]) >= np.maximum(sizes[others], sizes[x]) * similarity)]
+            others = others[~(bands[others, :band] == bands[x, :band]).any(1)]
+            if not len(others):
+                continue
+            flat = np.concatenate([els[y] for y in others])
+            at = np.minimum(np.searchsorted(els[x], flat), sizes[x] - 1)
+            shared = np.add.reduceat((els[x][at] == flat).astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+            for y in others[shared >= (sizes[others] + sizes[x] - shared) * similarity]:
+                if comp[y] != comp[x]:
+                    found.append((nid[x], nid[y]))
+                    comp[comp == comp[y]] = comp[x]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return links
+
+
+def _unsettled_links(left: DataFrame, nodes: DataFrame, els: DataFrame, similarity: float, most: int = BLOCK) -> DataFrame:
+    """Links (a, b) that remain in buckets of several classes, found in pairs of blocks of about ``most`` elements."""
+    rows = left.select("key", "nid", "comp", "far").join(nodes.select("nid", "bands"), "nid").join(els, "nid")
+    sizes = left.join(els.select("nid", F.size("els").alias("n")), "nid").groupBy("key").agg(F.ceil(F.sum("n") / most).alias("blocks"))
+    rows = small_join(rows, stage(sizes, "near-blocks"), "key").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    rows = rows.withColumn("_o", other).withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o")).drop("_o", "blocks")
+    return rows.groupBy("key", "i", "j").applyInPandas(_block_links(similarity), "a bigint, b bigint")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, class_size, kept, node.
 
     A class holds texts that links of at least ``similarity`` connect; class_id is its least doc_id, and of the
     class one row with that doc_id stays. Texts without words (null too) are all equal. Texts under five words
     are one shingle. A null doc_id stays only in a class without others. Whole texts are read.
     """
-    sign = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), node(F.col("text")).alias("node"), shingles(F.col("text")).alias("shingles")).mapInArrow(_sign, "doc_id bigint, node binary, bands array<bigint>")
+    sign = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("ws"))
+    sign = sign.select("doc_id", node(F.col("ws")).alias("node"), shingles(F.col("ws")).alias("shingles")).mapInArrow(_sign, "doc_id bigint, node binary, bands array<bigint>")
     sign = stage(sign, "near-bands")
     nodes = sign.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = stage(nodes.select(F.monotonically_increasing_id().alias("nid"), "node", "rep", "n", "bands"), "near-nodes")
@@ -190,34 +244,30 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, star_rounds: int =
     rep = some.select("nid", F.col("node").alias("_node"), F.col("rep").alias("_rep"))
     fits = rep.limit(200_001).count() <= 200_000
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = texts.join(F.broadcast(rep) if fits else rep, F.col("doc_id").eqNullSafe(F.col("_rep"))).filter(node(F.col("text")) == F.col("_node"))
-    els = stage(texts.select("nid", shingles(F.col("text")).alias("shingles")).mapInArrow(_elements, "nid bigint, els array<bigint>").dropDuplicates(["nid"]), "near-elements")
+    texts = texts.join(F.broadcast(rep) if fits else rep, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("nid", "_node", words(F.col("text")).alias("ws")).filter(node(F.col("ws")) == F.col("_node"))
+    els = stage(texts.select("nid", shingles(F.col("ws")).alias("shingles")).mapInArrow(_elements, "nid bigint, els array<bigint>").dropDuplicates(["nid"]), "near-elements")
     comp = some.select(F.col("nid").alias("id"), F.col("nid").alias("comp"))
-    done = None
-    for turn in range(star_rounds + 1):
-        now = members.join(comp.withColumnRenamed("id", "nid"), "nid")
-        parts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("nid", F.lit(turn)), "nid")).alias("first"))
-        mixed_ = parts.groupBy("key").agg(F.max(F.struct("n", "comp", "first")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("top.comp").alias("main"), F.col("top.first.nid").alias("lead"))
-        left = stage(now.join(mixed_, "key"), "near-left")  # buckets that hold members of several classes
-        if turn < star_rounds:
-            pairs = left.filter("comp != main").select(F.col("lead").alias("x"), F.col("nid").alias("y"))
+    state, known = members.select("key", "nid", F.array().cast("array<double>").alias("far")), None
+    for turn in range(pivots + 1):
+        now = state.join(comp.withColumnRenamed("id", "nid"), "nid")
+        parts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.array_min("far"), F.xxhash64("nid"), "nid")).alias("lead"))
+        open_ = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.max("lead").alias("lead"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("top.comp").alias("main"), F.col("lead.nid").alias("pivot"))
+        left = stage(now.join(open_, "key"), "near-left")  # buckets that hold members of several classes
+        if left.isEmpty():
+            break
+        if turn < pivots:
+            wanted = left.filter("nid != pivot").select(*_pairs("pivot", "nid")).distinct()
+            new = stage(_similar(wanted if known is None else wanted.join(known, ["a", "b"], "left_anti"), els), "near-pairs")
+            known = new if known is None else known.unionByName(new)
+            links = new.filter(F.col("j") >= similarity)
         else:
-            others = left.filter("comp != main").select("key", F.col("nid").alias("x"), F.col("comp").alias("cx"))
-            pairs = others.join(left.select("key", F.col("nid").alias("y"), F.col("comp").alias("cy"), "main"), "key").filter("cx != cy and (cy = main or x < y)").select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "near-pairs")
-        if pairs.isEmpty():
-            if left.isEmpty():
-                break
-            continue
-        links = _verified(pairs, els, similarity)
-        done = pairs if done is None else done.unionByName(pairs)
-        lookup = comp.select(F.col("id"), F.col("comp"))
-        links = links.join(lookup.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(lookup.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            links = stage(_unsettled_links(left, nodes, els, similarity), "near-links")
+        links = links.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
         comp = stage(small_join(comp, merged, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "near-classes")
+        if turn < pivots:
+            seen = left.select("key", "nid", "far", "pivot", *_pairs("pivot", "nid")).join(known, ["a", "b"], "left")
+            state = stage(seen.select("key", "nid", F.concat("far", F.array(F.when(F.col("nid") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")))).alias("far")), "near-state")
     of = small_join(nodes.select("nid", "node", "rep", "n"), comp.withColumnRenamed("id", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     of = stage(of, "near-of")
     every = of.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
@@ -229,17 +279,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, star_rounds: int =
     return head.unionByName(rest).select("doc_id", "class_id", "class_size", "kept", "node")
 
 
-def without_copies(docs: DataFrame, similarity: float = SIMILARITY, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def without_copies(docs: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """``docs`` with one row of each class, columns as before."""
     names = docs.columns
-    found = stage(classes(docs, similarity, star_rounds), "near-found")
+    found = stage(classes(docs, similarity, pivots), "near-found")
     gone = found.groupBy("doc_id", "node").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1")
     gone = stage(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.when(~F.col("kept"), F.col("node"))).alias("_gone"), F.collect_list(F.when(F.col("kept"), F.col("node"))).alias("_again")), "near-gone")
     key = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")).alias("_key")
     rows = small_join(docs.select("*", key), gone.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_key"), "_gone", "_again"), "_key", "left")
     known = F.col("_gone").isNotNull()
-    rows = rows.filter(F.when(known, ~F.array_contains("_gone", node(F.col("text")))).otherwise(True))
-    again = F.when(known, F.array_contains("_again", node(F.col("text")))).otherwise(False)
+    rows = rows.filter(F.when(known, ~F.array_contains("_gone", node(words(F.col("text"))))).otherwise(True))
+    again = F.when(known, F.array_contains("_again", node(words(F.col("text"))))).otherwise(False)
     one = rows.filter(~again)
-    many = rows.filter(again).withColumn("_n", F.row_number().over(W.partitionBy("_key", node(F.col("text"))).orderBy("text"))).filter("_n = 1").drop("_n")
+    many = rows.filter(again).withColumn("_n", F.row_number().over(W.partitionBy("_key", node(words(F.col("text")))).orderBy("text"))).filter("_n = 1").drop("_n")
     return one.unionByName(many).select(*names)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,23 +70,29 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def gram_hashes(hashes: Column, n: int) -> Column:
     """From an array of word hashes, the hash of each run of ``n`` of them (none if there are fewer).
 
     Runs are put together by doubling, so a run of eight takes three passes over the array.
     """
 
-    def joined(a: Column, na: int, b: Column, nb: int) -> Column:
-        count = F.size(hashes) - (na + nb - 1)
-        pairs = F.zip_with(F.slice(a, F.lit(1), F.greatest(count, F.lit(0))), F.slice(b, F.lit(na + 1), F.greatest(count, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    def joined(powers: dict[int, Column], a: Column, na: int, nb: int) -> Column:
+        count = F.size(powers[1]) - (na + nb - 1)
+        pairs = F.zip_with(F.slice(a, F.lit(1), F.greatest(count, F.lit(0))), F.slice(powers[nb], F.lit(na + 1), F.greatest(count, F.lit(0))), lambda x, y: F.xxhash64(x, y))
         return F.when(count > 0, pairs).otherwise(F.array().cast("array<bigint>"))
 
-    powers, size = {1: hashes}, 1
-    while size * 2 <= n:
-        powers[size * 2] = joined(powers[size], size, powers[size], size)
-        size *= 2
-    out, have = powers[size], size
-    while have < n:
-        step = max(k for k in powers if k <= n - have)
-        out, have = joined(out, have, powers[step], step), have + step
-    return out
+    def grown(powers: dict[int, Column], size: int) -> Column:
+        if size * 2 <= n:
+            return let(joined(powers, powers[size], size, size), lambda p: grown({**powers, size * 2: p}, size * 2))
+        out, have = powers[size], size
+        while have < n:
+            step = max(k for k in powers if k <= n - have)
+            out, have = joined(powers, out, have, step), have + step
+        return out
+
+    return let(hashes, lambda h: grown({1: h}, 1))
