@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import small_join, stage
+
 #: Header fields that a 304 response may update in what it stands for.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Records of one URL that are put in order in one go, about.
@@ -41,7 +43,7 @@ def latest(records: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     sizes = records.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias("_from"), F.max("at").alias("_to"))
     width = F.greatest(F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / block)).cast("bigint"), F.lit(1))
-    rows = records.join(sizes.select("key", F.col("_from"), width.alias("_width")), "key")
+    rows = small_join(records, stage(sizes.select("key", F.col("_from"), width.alias("_width")), "warc-sizes"), "key")
     rows = rows.withColumn("_b", F.coalesce(F.floor((F.col("at") - F.col("_from")) / F.col("_width")), F.lit(-1))).drop("_from", "_width")
     held = F.when(F.col("full"), F.struct("at", "record_id", "held"))
     sums = rows.groupBy("key", "_b").agg(F.max(held).alias("_last"))
@@ -49,7 +51,7 @@ def latest(records: DataFrame, block: int = BLOCK) -> DataFrame:
     sums = sums.select("key", "_b", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     inside = W.partitionBy("key", "_b").orderBy("at", "record_id").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_near", F.last(held, ignorenulls=True).over(inside))
-    return rows.join(sums, ["key", "_b"]).withColumn("found", F.coalesce("_near", "_carried")["held"]).drop("_b", "_near", "_carried")
+    return small_join(rows, stage(sums.filter("_carried is not null"), "warc-carried"), ["key", "_b"], "left").withColumn("found", F.coalesce("_near", "_carried")["held"]).drop("_b", "_near", "_carried")
 
 
 def _header(name: str) -> Column:
@@ -72,6 +74,8 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = rows.withColumn("full", F.coalesce(full, F.lit(False))).withColumn("held", F.struct(F.col("record_id").alias("id"), F.map_entries("headers").alias("headers")))
     known = F.col("key").isNotNull() & F.col("at").isNotNull()
     lost = rows.filter(~known & ~F.col("full")).withColumn("found", F.lit(None).cast(rows.schema["held"].dataType))
+    # Written once: texts are not read again, and a lost executor costs little.
+    rows = stage(rows, "warc-rows")
     seen = latest(rows.filter(known), block).filter(~F.col("full"))
     both = seen.unionByName(lost).withColumn("old", F.map_from_entries("found.headers"))
     strip = lambda c: F.regexp_replace(c, "^W/", "")
@@ -163,11 +167,11 @@ def captures(pages: DataFrame) -> DataFrame:
     four seconds later whose etag is the page's (of every seventh page a stale one); and a dated revisit one
     second before, which can only stand for a page of the same canonical URL with a lower id.
     """
-    tag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
-    day, epoch = F.col("page_id") * 10_000, F.lit("Thu, 01 Jan 1970 00:00:00 GMT")
-    base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", tag.alias("tag"))
-    one = lambda name, kind, shift, status, headers: base.select(F.concat(F.lit(name), F.col("page_id").cast("string")).alias("record_id"), F.lit(kind).alias("kind"), "url", (day + shift).alias("at"), F.lit(status).alias("status"), headers.alias("headers"))
-    full = one("r", "response", 0, 200, F.map_filter(F.create_map(F.lit("ETag"), F.col("tag"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Expires"), F.lit("0"), F.lit("Last-Modified"), F.when(F.col("page_id") % 2 == 0, epoch)), lambda k, v: v.isNotNull()))
-    late = one("l", "revisit", 4000, 304, F.create_map(F.lit("ETag"), F.when(F.col("page_id") % 7 == 0, F.lit("stale")).otherwise(F.col("tag")), F.lit("Expires"), F.col("page_id").cast("string"), F.lit("Content-Type"), F.lit("none")))
-    early = one("e", "revisit", -1000, 304, F.create_map(F.lit("Last-Modified"), epoch))
-    return full.unionByName(late).unionByName(early).withColumn("payload", F.lit(None).cast("binary"))
+    page, tag, epoch = F.col("page_id").cast("bigint"), F.md5(F.coalesce("html", F.lit("")).cast("binary")), "Thu, 01 Jan 1970 00:00:00 GMT"
+    some = lambda **h: F.map_filter(F.create_map(*[x for k, v in h.items() for x in (F.lit(k.replace("_", "-")), v.cast("string"))]), lambda _, v: v.isNotNull())
+    made = lambda name, kind, shift, status, headers: F.struct(F.concat(F.lit(name), F.col("p").cast("string")).alias("record_id"), F.lit(kind).alias("kind"), (F.col("p") * 10_000 + shift).alias("at"), F.lit(status).alias("status"), headers.alias("headers"))
+    full = made("r", "response", 0, 200, some(ETag=F.col("tag"), Content_Type=F.lit("text/html"), Expires=F.lit("0"), Last_Modified=F.when(F.col("p") % 2 == 0, epoch)))
+    late = made("l", "revisit", 4000, 304, some(ETag=F.when(F.col("p") % 7 == 0, "stale").otherwise(F.col("tag")), Expires=F.col("p"), Content_Type=F.lit("none")))
+    early = made("e", "revisit", -1000, 304, some(Last_Modified=F.lit(epoch)))
+    rows = pages.select(page.alias("p"), "url", tag.alias("tag")).select("url", F.explode(F.array(full, late, early)).alias("x"))
+    return rows.select("x.record_id", "x.kind", "url", "x.at", "x.status", "x.headers", F.lit(None).cast("binary").alias("payload"))
