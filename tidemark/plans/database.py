@@ -1,7 +1,7 @@
 """A time-series database: samples in day partitions of immutable Parquet parts, described by commits.
 
-On disk, below one root: ``data/<id>/day=YYYYMMDD`` (a part's files), ``blocks/<id>`` (samples per series and part),
-``series/<id>`` (identities), ``inverted/<id>`` (labels per day) and ``commits/NNNNNNNNNN.json``. A commit names everything
+On disk, below one root: ``data/<id>/day=YYYYMMDD`` (a part's files), ``blocks/batch=<id>/day=YYYYMMDD`` (samples per series
+and part), ``series/<id>`` (identities), ``inverted/batch=<id>/day=YYYYMMDD`` (labels per day) and ``commits/NNNNNNNNNN.json``. A commit names everything
 that is live; files come first and the commit last, so a crash leaves at most files that nothing names,
 which ``vacuum`` removes. A query plans against one commit and one copy of the buffer. Files that a merge or
 retention replaces stay until ``vacuum``, since DataFrames that were planned before may still read them.
@@ -136,11 +136,15 @@ class Database:
 
     def inverted(self) -> DataFrame:
         """day, name, value, series_id of the live days' index."""
-        out = None
-        for p in self._commit["inverted"]:
-            one = self.spark.read.schema(INVERTED).parquet(self.files.full(p["path"])).filter(F.col("day").isin(p["days"]))
-            out = one if out is None else out.unionByName(one)
-        return self.spark.createDataFrame([], INVERTED) if out is None else out.distinct()
+        rows = self._leaves("inverted", INVERTED, [f"{p['path']}/day={d}" for p in self._commit["inverted"] for d in p["days"]])
+        return rows.select("day", "name", "value", "series_id").distinct()
+
+    def _leaves(self, folder: str, schema: str, paths: list[str]) -> DataFrame:
+        """One scan, however many folders, of columns, batch and day."""
+        full = f"{schema}, batch string"
+        if not paths:
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).option("basePath", self.files.full(folder)).parquet(*[self.files.full(p) for p in paths])
 
     def match(self, matchers: list[Matcher]) -> DataFrame:
         """Findable series that all matchers hold for."""
@@ -226,15 +230,16 @@ class Database:
                 made = self._write(rows.withColumn("day", day_of(F.col("ts_ms"))), SMALL, commit)
                 known = self.inverted().select("day", "series_id").distinct()
                 pairs = registry.unindexed(self._blocks(made).select("day", "series_id"), known)
-                registry.inverted(pairs, series).write.parquet(self.files.full(f"inverted/{name}"))
+                registry.inverted(pairs, series).write.partitionBy("day").parquet(self.files.full(f"inverted/batch={name}"))
                 days = sorted({p.day for p in made})
+                indexed = [n.removeprefix("day=") for n in self.files.names(f"inverted/batch={name}") if n.startswith("day=")]
 
                 def change(new: dict) -> None:
                     new["parts"] += [vars(p) for p in made]
                     new["next_part"].update({p.day: int(p.part_id) + 1 for p in made})
                     new["series"] += new_series
                     new["next_series"] = max(new["next_series"], getattr(self, "_counter", 0) + 1)
-                    new["inverted"].append({"path": f"inverted/{name}", "days": days})
+                    new["inverted"] += [{"path": f"inverted/batch={name}", "days": indexed}] if indexed else []
                     if batch:
                         new["batches"][batch[0]] = batch[1]
 
@@ -253,14 +258,14 @@ class Database:
     def _write(self, rows: DataFrame, tier: str, commit: dict) -> list[Part]:
         """Files of one part per day, in order of series and time; parts are named but not yet live."""
         name = uuid.uuid4().hex
-        data, blocks = f"data/{name}", f"blocks/{name}"
+        data, blocks = f"data/{name}", f"blocks/batch={name}"
         rows = rows.repartitionByRange("day", "series_id").sortWithinPartitions("day", "series_id", "ts_ms")
         rows.write.partitionBy("day").parquet(self.files.full(data))
         written = self.spark.read.schema("series_id bigint, ts_ms bigint, value double, day string").parquet(self.files.full(data))
-        ranges.block_counts(written, "day").write.parquet(self.files.full(blocks))
+        ranges.block_counts(written, "day").write.partitionBy("day").parquet(self.files.full(blocks))
         meta = ranges.part_meta(self.spark.read.schema(BLOCKS).parquet(self.files.full(blocks)), "day").collect()  # one row per day
         return [
-            Part(r["day"], f"{commit['next_part'].get(r['day'], 1):06d}", f"{data}/day={r['day']}", blocks, tier, r["min_ts"], r["max_ts"], r["series_count"], r["samples_count"]) for r in sorted(meta, key=lambda r: r["day"])
+            Part(r["day"], f"{commit['next_part'].get(r['day'], 1):06d}", f"{data}/day={r['day']}", f"{blocks}/day={r['day']}", tier, r["min_ts"], r["max_ts"], r["series_count"], r["samples_count"]) for r in sorted(meta, key=lambda r: r["day"])
         ]
 
     # -- merge, retention, vacuum ----------------------------------------------------------------------
@@ -335,15 +340,9 @@ class Database:
 
     def _blocks(self, parts: list[Part]) -> DataFrame:
         """day, part_id, series_id, n, min_ts, max_ts of the parts' blocks."""
-        out = None
-        by: dict[str, list[Part]] = {}
-        for p in parts:
-            by.setdefault(p.blocks, []).append(p)
-        for path, own in by.items():
-            names = self.spark.createDataFrame([(p.day, p.part_id) for p in own], "day string, part_id string")
-            one = self.spark.read.schema(BLOCKS).parquet(self.files.full(path)).join(F.broadcast(names), "day")
-            out = one if out is None else out.unionByName(one)
-        return self.spark.createDataFrame([], f"{BLOCKS}, part_id string") if out is None else out
+        names = self.spark.createDataFrame([(p.blocks.split("batch=")[1].split("/")[0], p.day, p.part_id) for p in parts], "batch string, day string, part_id string")
+        rows = self._leaves("blocks", BLOCKS, [p.blocks for p in parts])
+        return rows.join(F.broadcast(names), ["batch", "day"]).drop("batch")
 
     def _snapshot(self) -> tuple[list[Part], DataFrame | None]:
         with self._lock:
