@@ -19,6 +19,9 @@ from ..functions.labels import NAME, sorted_labels
 from ..plans.database import Database
 from .json_import import MOST_BYTES, BadRequest
 
+#: Samples that are handed to Spark in one go, about.
+FRAME = 20_000
+
 Series = tuple[list[tuple[str, str]], list[tuple[int, float]]]
 
 
@@ -126,11 +129,17 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
     """(labels, ts_ms, value) of a binary column ``content``; one body a row, decoded on the executors."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for body in batch["content"]:
-                own = usable(decode(uncompress(bytes(body))))
-                rows = [([{"name": n, "value": v} for n, v in labels], ts, value) for labels, samples in own for ts, value in samples]
-                yield pd.DataFrame(rows, columns=["labels", "ts_ms", "value"])
+                for labels, samples in usable(decode(uncompress(bytes(body)))):
+                    shared = [{"name": n, "value": v} for n, v in labels]
+                    rows += [(shared, ts, value) for ts, value in samples]
+                if len(rows) >= FRAME:
+                    yield pd.DataFrame(rows, columns=["labels", "ts_ms", "value"])
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["labels", "ts_ms", "value"])
 
     rows = bodies.select("content").mapInPandas(read, "labels array<struct<name:string,value:string>>, ts_ms bigint, value double")
     return rows.withColumn("labels", sorted_labels(F.col("labels")))
