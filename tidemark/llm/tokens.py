@@ -32,8 +32,8 @@ from .shared import new_path
 MAGIC, FOOT = b"TMTOKEN1", struct.Struct("<6Q")
 BLOCK = 8192
 END_ID = 0
-#: Pieces of text whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 1_000_000, 64
+#: Pieces of text whose ids a worker remembers, those that it remembers until its task ends, and the longest of the former.
+REMEMBERED, FOR_TASK, LONGEST = 500_000, 300_000, 64
 #: Marks that often close a word.
 MARKS = ",."
 #: Two white-space characters side by side; texts with them are encoded whole.
@@ -62,12 +62,14 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
 
 
 class Known(dict):
-    """Ids by piece; those of the batch at hand are found as well."""
+    """Ids by piece; those of the task at hand are found as well."""
 
-    batch: dict[str, bytes] = {}
+    def __init__(self):
+        super().__init__()
+        self.task: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        return self.batch[piece]
+        return self.task[piece]
 
 
 class Encoder:
@@ -93,18 +95,25 @@ class Encoder:
     def _learn(self, lead: str, pieces: set[str]) -> Known:
         """Ids of the pieces, each behind ``lead``. A full store keeps what it has: frequent pieces come early."""
         known = self.known[lead]
-        new = [p for p in pieces if p not in known]
+        new = [p for p in pieces if p not in known and p not in known.task]
         # A closing comma or full stop is a piece of its own, so only the word before it is encoded.
         closed = [p for p in new if p and p[-1] in MARKS and p[-2:-1].isalnum()]
         apart = set(closed)
-        raw = [p for p in {p[:-1] for p in closed}.union(p for p in new if p not in apart) if p not in known]
+        raw = [p for p in {p[:-1] for p in closed}.union(p for p in new if p not in apart) if p not in known and p not in known.task]
         made = dict(zip(raw, self._raw([lead + p for p in raw]))) if raw else {}
         made.update((p, (made.get(p[:-1]) or known[p[:-1]]) + self.marks[p[-1]]) for p in closed)
         if len(known) + len(made) <= REMEMBERED:
             known.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST)
-        known.batch = made
+            made = {p: ids for p, ids in made.items() if len(p) > LONGEST}
+        if len(known.task) + len(made) > FOR_TASK:
+            known.task = {p: known.task[p] for p in pieces if p in known.task}
+        known.task.update(made)
         return known
 
+    def end_task(self) -> None:
+        for known in self.known.values():
+            known.task = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         lines = [[part.split(" ") for part in t.split("\n")] if self.piecewise and not SPACES.search(t) else None for t in texts]
@@ -215,6 +224,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bloc
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
                     out.add(doc_id, ids + end)
         if out is not None:
+            encoder.end_task()
             out.close()
             store.move(part, f"{folder}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "docs": [len(out.doc_ids)], "ids": [out.ids]})

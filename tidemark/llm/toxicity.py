@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.7
 #: Bound of the training sample, in labelled rows of each class.
 SAMPLE = 3_000
-#: Words whose scores a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose scores a task remembers.
+REMEMBERED = 200_000
+#: Words whose n-grams are made in one go.
+CHUNK = 50_000
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
 
 
@@ -101,8 +103,10 @@ def train(texts: list[str | None], labels: np.ndarray, shape: Shape = Shape()) -
     flat = np.concatenate(bags) if len(doc) else np.zeros(0, np.int64)
     if not len(flat):
         return np.zeros(size, np.float32), 0.0
-    buckets, begins = features(words, shape)
-    counts = np.diff(begins)
+    made = [features(words[k : k + CHUNK], shape) for k in range(0, len(words), CHUNK)]
+    buckets, counts = np.concatenate([b for b, _ in made]), np.concatenate([np.diff(at) for _, at in made])
+    begins = np.append(0, np.cumsum(counts))
+    del made
     rng = np.random.default_rng(shape.seed)
     vectors = rng.normal(0, 0.3, (size, shape.dim)).astype(np.float32)
     softmax = rng.normal(0, 0.3, (2, shape.dim)).astype(np.float32)
@@ -210,16 +214,18 @@ class Scorer:
         """One score per text; a text without words has the score of an empty bag."""
         bags = [set((t or "").split()) for t in texts]
         new = list(set().union(*bags) - self.known.keys()) if bags else []
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(set().union(*bags))
-        for k in range(0, len(new), 50_000):
-            tokens = new[k : k + 50_000]
+        extra: dict[str, float] = {}
+        for k in range(0, len(new), CHUNK):
+            tokens = new[k : k + CHUNK]
             bare = [plain(t) for t in tokens]
             words = sorted({w for w in bare if w})
             logit = dict(zip(words, word_logits(words, self.weights, self.bias, self.shape)))
-            self.known.update((t, logit.get(w, self.bias)) for t, w in zip(tokens, bare))
-        get = self.known.__getitem__
+            extra.update((t, logit.get(w, self.bias)) for t, w in zip(tokens, bare))
+        if len(self.known) + len(extra) <= REMEMBERED:  # a full store keeps what it has: frequent words come early
+            self.known.update(extra)
+            get = self.known.__getitem__
+        else:
+            get = lambda t: self.known[t] if t in self.known else extra[t]
         z = np.fromiter((max(map(get, b), default=self.bias) for b in bags), np.float64, len(bags))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -232,7 +238,7 @@ def score_udf(spark, model: tuple[np.ndarray, float], shape: Shape = Shape()):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(*sent.value, shape)
         for texts in batches:
-            yield pd.Series(np.concatenate([scorer.scores(list(texts[k : k + 200])) for k in range(0, len(texts), 200)] or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([scorer.scores(list(texts[k : k + 500])) for k in range(0, len(texts), 500)] or [np.zeros(0)]))
 
     return score
 
