@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import let, small_join, stage
+from .shared import let, scratch, small_join, stage
 
 #: Fixed value: weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -146,9 +146,11 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; columns as in ``docs``."""
     names = docs.columns
-    made = copies(docs, **options).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("skey").alias("_skey"), F.col("th").alias("_th")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "copies"))), lambda x: x["copies"]).alias("_copies"))
+    with scratch(docs.sparkSession):
+        made = copies(docs, **options).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("skey").alias("_skey"), F.col("th").alias("_th")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "copies"))), lambda x: x["copies"]).alias("_copies"))
+        made = stage(made, "mix-copies", keep=True)
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")), "_skey": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    both = small_join(keyed, stage(made, "mix-copies"), ["_id", "_skey", "_th"])
+    both = small_join(keyed, made, ["_id", "_skey", "_th"])
     one = both.filter(F.size("_copies") == 1).withColumn("_n", F.element_at("_copies", 1))
     same = W.partitionBy("_id", "_skey", "_th").orderBy(*[F.col(c).cast("string") for c in names if c not in ("doc_id", "text", "source")], F.lit(0))
     many = both.filter(F.size("_copies") > 1).withColumn("_r", F.row_number().over(same)).withColumn("_n", F.element_at("_copies", F.col("_r"))).drop("_r")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import gram_hashes, let, small_join, stage, words
+from .shared import gram_hashes, let, scratch, small_join, stage, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -282,7 +282,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOT
 def without_copies(docs: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """``docs`` with one row of each class, columns as before."""
     names = docs.columns
-    found = stage(classes(docs, similarity, pivots), "near-found")
+    with scratch(docs.sparkSession):
+        found = stage(classes(docs, similarity, pivots), "near-found", keep=True)
     gone = found.groupBy("doc_id", "node").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1")
     gone = stage(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.when(~F.col("kept"), F.col("node"))).alias("_gone"), F.collect_list(F.when(F.col("kept"), F.col("node"))).alias("_again")), "near-gone")
     key = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")).alias("_key")

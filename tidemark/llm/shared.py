@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +48,27 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged within go at the end, but for those that were staged to be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
