@@ -107,6 +107,27 @@ def test_toxicity_shares_ngrams_and_bears_odd_rows(spark):
     assert toxicity.scored(docs.limit(0), marks).count() == 0 and toxicity.scored(docs, marks.limit(0)).count() == len(rows)
 
 
+def test_toxicity_reads_long_tokens_to_their_end():
+    assert toxicity.pieces("(Word,") == ["word"] and toxicity.pieces("--") == [] and toxicity.pieces("-" * 500) == []
+    assert toxicity.pieces("ab_cd/ef," * 10) == ["ab", "cd", "ef"] * 10
+    run = "".join(chr(0x4E00 + i) for i in range(1001))
+    cut = toxicity.pieces(run)
+    assert max(map(len, cut)) <= toxicity.PIECE and all(any(run[k : k + 12] in c for c in cut) for k in range(len(run) - 11))
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts = [" ".join([word() for _ in range(20)] + (["wortzless"] if i % 3 == 0 else [])) for i in range(300)]
+    scorer = toxicity.Scorer(*toxicity.train(texts, np.array([float(i % 3 == 0) for i in range(300)])))
+    clean = [word() for _ in range(40)]
+    for glue in "_,/":
+        bad, good = scorer.scores([glue.join([*clean, "wortzless"]), glue.join(clean)])
+        assert bad >= toxicity.THRESHOLD > good
+    assert all(len(t) <= toxicity.LONG for t in scorer.known)
+    signs = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x4F00, n)))
+    texts = [signs(200) + ("\u9000\u9001\u9002\u9003" if i % 3 == 0 else "") + signs(60) for i in range(300)]
+    scorer = toxicity.Scorer(*toxicity.train(texts, np.array([float(i % 3 == 0) for i in range(300)])))
+    assert scorer.scores([signs(500) + "\u9000\u9001\u9002\u9003" + signs(50)])[0] > scorer.scores([signs(550)])[0]
+
+
 def brute_lm(docs, target, word_share, bigram_share):
     split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     own = {i: split.findall("".join(c.lower() if c.isascii() else c for c in t or "")) for i, t in docs}

@@ -6,11 +6,13 @@ unseen misspelling or inflection shares the vectors of the n-grams it has in com
 
 Documents are labelled, words are not. Training starts from every word having the label of its documents,
 and goes on with each document judged by its most toxic word (the pooling that scoring uses as well), so a
-single insult in a text of 20,000 words counts, and a long clean text stays clean.
+single insult in a text of 20,000 words counts, and a long clean text stays clean. Long tokens, as in text without
+spaces, are taken apart and read to their end.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +30,9 @@ SAMPLE = 3_000
 REMEMBERED = 200_000
 #: Words whose n-grams are made in one go.
 CHUNK = 50_000
+#: Characters of a token beyond which it is taken apart and not remembered, and of the pieces of an unbroken run.
+LONG, PIECE = 64, 24
+BREAK = re.compile(r"[^\w\u0300-\u036f\u0900-\u0dff\u0e00-\u0eff]+|_+")
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
 
 
@@ -50,7 +55,26 @@ class Shape:
 
 
 def plain(token: str) -> str:
-    return token.strip(EDGE).lower()[:64]
+    return token.strip(EDGE).lower()
+
+
+def pieces(token: str) -> list[str]:
+    """The words of a token: itself, or what a token over ``LONG`` characters falls into.
+
+    A long one is split at whatever is no letter, digit or mark; runs that are still long (text without spaces) are
+    cut into pieces that overlap by half, so that a word of up to ``PIECE // 2`` characters is whole in one of them.
+    """
+    bare = plain(token)
+    if len(bare) <= LONG:
+        return [bare] if bare else []
+    step = PIECE // 2
+    out = []
+    for run in BREAK.split(bare):
+        if len(run) > LONG:
+            out.extend(run[k : k + PIECE] for k in range(0, len(run) - step, step))
+        elif run:
+            out.append(run)
+    return out
 
 
 def features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +121,7 @@ def train(texts: list[str | None], labels: np.ndarray, shape: Shape = Shape()) -
         share = float(labels.mean()) if len(texts) else 0.0
         return np.zeros(size, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     vocabulary: dict[str, int] = {}
-    bags = [np.unique(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in {plain(t) for t in (text or "").split()} if w), np.int64)) for text in texts]
+    bags = [np.unique(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in {w for t in set((text or "").split()) for w in pieces(t)}), np.int64)) for text in texts]
     words = list(vocabulary)
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     flat = np.concatenate(bags) if len(doc) else np.zeros(0, np.int64)
@@ -205,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shape: Shape =
 
 
 class Scorer:
-    """Scores texts and remembers the words it has met."""
+    """Scores texts and remembers the words it has met, but for long ones."""
 
     def __init__(self, weights: np.ndarray, bias: float, shape: Shape = Shape()):
         self.weights, self.bias, self.shape, self.known = weights, bias, shape, {}
@@ -217,12 +241,17 @@ class Scorer:
         extra: dict[str, float] = {}
         for k in range(0, len(new), CHUNK):
             tokens = new[k : k + CHUNK]
-            bare = [plain(t) for t in tokens]
-            words = sorted({w for w in bare if w})
-            logit = dict(zip(words, word_logits(words, self.weights, self.bias, self.shape)))
-            extra.update((t, logit.get(w, self.bias)) for t, w in zip(tokens, bare))
-        if len(self.known) + len(extra) <= REMEMBERED:  # a full store keeps what it has: frequent words come early
-            self.known.update(extra)
+            cut = [pieces(t) for t in tokens]
+            words = sorted(set().union(*cut))
+            logit: dict[str, float] = {}
+            for j in range(0, len(words), CHUNK):
+                some = words[j : j + CHUNK]
+                logit.update(zip(some, word_logits(some, self.weights, self.bias, self.shape)))
+            extra.update((t, max((logit[w] for w in c), default=self.bias)) for t, c in zip(tokens, cut))
+        short = {t: z for t, z in extra.items() if len(t) <= LONG}
+        if fits := len(self.known) + len(short) <= REMEMBERED:  # a full store keeps what it has: frequent words come early
+            self.known.update(short)
+        if fits and len(short) == len(extra):
             get = self.known.__getitem__
         else:
             get = lambda t: self.known[t] if t in self.known else extra[t]
