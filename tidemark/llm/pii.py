@@ -2,9 +2,10 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Beyond them, a term can give an entity away
 even when the entity itself is masked. How much it gives away is estimated from the corpus: with contexts
-(the words beside each occurrence of an entity) as the unit of co-occurrence, the pointwise mutual information
+(all words of a document that names the entity) as the unit of co-occurrence, the pointwise mutual information
 of term and entity, as a share of the entity's own information content, is the part of the entity that
-the term discloses. Terms above the upper threshold are removed from the entity's documents, terms above
+the term discloses. Most values are too rare for evidence of their own, so it is pooled as well: by the domain of
+e-mail addresses, and by kind. Terms above the upper threshold are removed from the entity's documents, terms above
 the lower one are generalised to the entity's kind.
 """
 
@@ -24,8 +25,6 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words on either side of an entity that make its context, and the characters they are looked for in.
-WIDTH, REACH = 8, 160
 #: Distinct contexts of an entity in which a term must occur before anything is concluded.
 SUPPORT = 3
 #: Shares of an entity's information from which a term is removed, or generalised.
@@ -77,21 +76,19 @@ def _sized(gap: Column, found: Column) -> Column:
     return F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(found).cast("bigint").alias("size"))
 
 
-def spans_of(text: Column, kind: str, pattern: str, context: bool = True) -> Column:
-    """Array of (kind, start, end, value, left, right) of all matches that pass, in code points, in order.
+def spans_of(text: Column, kind: str, pattern: str) -> Column:
+    """Array of (kind, start, end, value) of all matches that pass, in code points, in order.
 
     What lies between the matches gives the offsets: a match starts after all gaps and matches before it.
-    ``left`` and ``right`` are the characters beside it.
     """
-    nothing = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>)")
+    nothing = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string>>)")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     ends = _sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("bigint")))
-    beside = (lambda g: F.right(g, F.lit(REACH)), lambda g: F.left(g, F.lit(REACH))) if context else (lambda g: F.lit(""),) * 2
-    zipped = F.arrays_zip(found.alias("m"), ends.alias("e"), F.slice(gaps, F.lit(1), F.size(found)).alias("l"), F.slice(gaps, F.lit(2), F.size(found)).alias("r"))
+    zipped = F.arrays_zip(found.alias("m"), ends.alias("e"))
     made = F.transform(
         F.filter(zipped, lambda x: _valid(kind, x["m"])),
-        lambda x: F.struct(F.lit(kind).alias("kind"), (x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("value"), beside[0](x["l"]).alias("left"), beside[1](x["r"]).alias("right")),
+        lambda x: F.struct(F.lit(kind).alias("kind"), (x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("value")),
     )
     return F.when(text.rlike(pattern), made).otherwise(nothing)
 
@@ -102,9 +99,11 @@ def base(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.monotonically_increasing_id().alias("_row"), *[spans_of(text, k, p).alias(f"s_{k}") for k, p in PATTERNS.items()])
 
 
-def _entity() -> Column:
-    """What makes two occurrences the same entity: kind and value without case and punctuation."""
-    return F.concat(F.col("s.kind"), F.lit(":"), F.regexp_replace(F.lower("s.value"), r"[\x20()+-]", ""))
+def _entities(spans: Column) -> Column:
+    """The entities that spans name, each once: kind and value without case and punctuation, domain of e-mails, and kind."""
+    value = lambda s: F.concat(s["kind"], F.lit(":"), F.regexp_replace(F.lower(s["value"]), r"[\x20()+-]", ""))
+    domains = F.transform(F.filter(spans, lambda s: s["kind"] == "email"), lambda s: F.concat(F.lit("email:@"), F.lower(F.substring_index(s["value"], "@", -1))))
+    return F.array_distinct(F.concat(F.transform(spans, value), domains, F.transform(spans, lambda s: s["kind"])))
 
 
 def terms(text: Column) -> Column:
@@ -114,21 +113,26 @@ def terms(text: Column) -> Column:
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """entity, term, share: terms that disclose at least ``least`` of an entity's information.
 
-    ``found`` is what ``base`` gives. Contexts with the same words count once, so copies of a document are no
-    evidence. An entity's probability is the share of contexts, a term's the share of documents that hold it,
-    and their joint probability the share of the entity's contexts with the term.
+    ``found`` is what ``base`` gives, with texts. Documents with the same words count once, so copies are no
+    evidence; an e-mail address is no context of its own. An entity's probability is the share of documents that
+    name it; given a term, it is the share of the term's documents, smoothed by one more document at the plain odds.
     """
-    spans = found.select(F.explode(F.concat(*[F.col(f"s_{k}") for k in PATTERNS])).alias("s"))
-    beside = F.concat(F.slice(F.reverse(terms(F.col("s.left"))), 1, WIDTH), F.slice(terms(F.col("s.right")), 1, WIDTH))
-    contexts = spans.select(_entity().alias("entity"), F.array_sort(F.array_distinct(beside)).alias("words")).distinct()
-    joint = contexts.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    joint = stage(joint, "pii-joint")
+    spans = F.concat(*[F.col(f"s_{k}") for k in PATTERNS])
+    words = F.array_sort(F.array_distinct(terms(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), PATTERNS["email"], " "))))
+    named = found.filter(F.size(spans) > 0).select(_entities(spans).alias("entities"), words.alias("words"))
+    named = stage(named.withColumn("bag", F.sha2(F.array_join("words", " "), 256)), "pii-named")
+    contexts = named.select(F.explode("entities").alias("entity"), "bag").distinct()
+    # Only entities with as many contexts can have a term with them, so the others are left out before words are counted.
+    alone = stage(contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support), "pii-alone")
+    bags = named.select("bag", "words").dropDuplicates(["bag"])
+    joint = small_join(contexts, alone.select("entity"), "entity").join(bags, "bag").select("entity", F.explode("words").alias("term"))
+    joint = stage(joint.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support), "pii-joint")
     counts = docs.select(F.explode(F.array_distinct(terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    alone = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
     both = joint.join(counts, "term").join(alone, "entity").join(F.broadcast(total))
-    p_e, p_t, p_both = F.col("n_entity") / F.greatest("n", "n_entity"), F.least(F.col("n_term") / F.col("n"), F.lit(1.0)), F.col("both") / F.greatest("n", "n_entity")
-    information, mutual = -F.log2(p_e), F.log2(p_both / (p_e * p_t))
+    p_e = F.col("n_entity") / F.col("n")
+    given = (F.col("both") + p_e) / (F.greatest("n_term", "both") + 1)
+    information, mutual = -F.log2(p_e), F.log2(given / p_e)
     share = F.when(information > 0, F.least(mutual / information, F.lit(1.0))).otherwise(F.lit(0.0))
     return both.select("entity", "term", share.alias("share")).filter(F.col("share") >= least)
 
@@ -145,10 +149,10 @@ def find(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE, genera
     found = base(docs, "doc_id", "text")
     found = stage(found if whole else found.withColumn("text", F.when(F.size(every) > 0, F.col("text"))), "pii-found")
     telling = disclosing(docs, found, support, generalise)
-    named = found.filter(F.size(every) > 0).select("_row", "text", F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_base"), F.explode(every).alias("s"))
-    pairs = small_join(named.select("_row", _entity().alias("entity")).distinct(), stage(telling, "pii-telling"), "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
+    named = found.filter(F.size(every) > 0).select("_row", F.explode(_entities(every)).alias("entity"))
+    pairs = small_join(named, stage(telling, "pii-telling"), "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
     told = pairs.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_terms"))
-    matches = spans_of(F.coalesce(F.col("text"), F.lit("")), "term", TERM, context=False)
+    matches = spans_of(F.coalesce(F.col("text"), F.lit("")), "term", TERM)
     rows = small_join(found, stage(told, "pii-told"), "_row", "left")
     hit = F.filter(matches, lambda m: F.map_contains_key(F.col("_terms"), F.lower(m["value"])) & ~F.exists(F.col("_base"), lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
     extra = F.transform(hit, lambda m: F.struct(F.when(F.element_at(F.col("_terms"), F.lower(m["value"])) >= remove, F.lit("term")).otherwise(F.lit("generalised")).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.element_at(F.col("_terms"), F.lower(m["value"])).alias("share")))
