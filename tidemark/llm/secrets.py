@@ -1,6 +1,6 @@
 """Secret scans: a random forest tells secrets from strings that only look like them.
 
-Candidates are runs of key characters that hold a digit. The forest (trained here, in numpy) sees a candidate's length,
+Candidates are runs of key characters, with digits or without. The forest (trained here, in numpy) sees a candidate's length,
 its transitions between classes of characters, how much of it a dictionary covers, words of its path and
 neighbouring words. The dictionary is the corpus' own: words above a share of all words, which bounds their number.
 """
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.~-]{16,}")
-DIGIT = re.compile(r"[0-9]")
 #: Share of all words that a dictionary word must have, so there are fewer than 1 / share.
 SHARE = 1e-4
 #: Words beside or before a candidate, and in its path, that speak for or against a secret.
@@ -77,6 +76,7 @@ def features(candidate: str, before: str, after: str, path: str, dictionary: fro
         float(bool(re.match(r"AKIA[0-9A-Z]{16}$|gh[pousr]_|sk_live_|xox[bap]-|eyJ", candidate))),
         covered(head, dictionary),
         glue,
+        float(any(w in FOR for w in re.findall(r"[a-z0-9]+", candidate.rpartition("=")[0][-60:].lower()))),
         float(sum(w in FOR for w in near)),
         float(sum(w in AGAINST for w in near)),
         float(sum(w in AGAINST for w in tail)),
@@ -151,6 +151,7 @@ def labelled(n: int = 3000, seed: int = 11) -> pd.DataFrame:
     word = lambda: pick(lower, int(rng.integers(2, 9)))
     prose = lambda: " ".join(word() for _ in range(4))
     one = lambda of: of[int(rng.integers(len(of)))]
+    camel = lambda: "".join(pick(lower, int(rng.integers(5, 9))).capitalize() for _ in range(int(rng.integers(3, 5))))
     yes = (
         lambda: ("AKIA" + pick(upper + digits, 16), one((f"{prose()} ", f'{prose()} aws_access_key_id = "'))),
         lambda: (one(("ghp_", "gho_", "ghs_")) + pick(lower + upper + digits, 36), one((f"{prose()} ", "token: "))),
@@ -158,6 +159,10 @@ def labelled(n: int = 3000, seed: int = 11) -> pd.DataFrame:
         lambda: (one(("password=", "passwd=", "pwd=", "secret=", "apikey=")) + pick(hexa if rng.random() < 0.6 else lower + upper + digits, int(rng.integers(12, 33))), f"{prose()} "),
         lambda: (pick(lower + upper + digits + "+/", 40), f'{one(("secret", "private key", "access key"))}: "'),
         lambda: ("sk_live_" + pick(lower + upper + digits, 24), f"{prose()} "),
+        lambda: ("AKIA" + pick(upper, 16), f"{prose()} "),
+        lambda: (one(("sk_live_", "ghp_")) + pick(lower + upper, int(rng.choice([24, 36]))), f"{prose()} "),
+        lambda: (one(("password=", "passwd=", "pwd=", "secret=")) + pick(lower + upper, int(rng.integers(12, 33))), f"{prose()} "),
+        lambda: (one(("password=", "passwd=", "pwd=", "secret=")) + camel(), f"{prose()} "),
     )
     no = (
         lambda: (pick(hexa, int(rng.choice([32, 40, 64]))), f'{prose()} {one(("commit", "sha1", "md5", "checksum", "revision", "digest"))} {one(("", "= ", ": "))}'),
@@ -171,6 +176,10 @@ def labelled(n: int = 3000, seed: int = 11) -> pd.DataFrame:
         lambda: ("".join(w.capitalize() for w in (word(), word(), word())) + pick(digits, 2), f"{prose()} "),
         lambda: (word() + "." + pick(digits, 2) + "@".replace("@", ".") + word() + pick(digits, 1) + ".example.com", f"{prose()} "),
         lambda: (".".join(pick(digits, 3) for _ in range(5)), f"{prose()} version "),
+        lambda: (pick(lower, int(rng.integers(16, 31))).capitalize() if rng.random() < 0.3 else pick(lower, int(rng.integers(16, 31))), f"{prose()} "),
+        lambda: (one("-_/").join(pick(lower, int(rng.integers(4, 10))) for _ in range(4)), f"{prose()} "),
+        lambda: (one(("", "name=", "class=", "href=")) + camel(), f"{prose()} "),
+        lambda: (one(("password=", "token=", "secret=")) + one(("your_password_here", "changeme_please", "example_value", "xxxxxxxxxxxxxxxx")), f"{prose()} "),
     )
     rows = []
     for k in range(n):
@@ -201,7 +210,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         found = m.group()
         bare = found.strip(".-~")
         start = m.start() + len(found) - len(found.lstrip(".-~"))
-        if len(bare) >= 16 and DIGIT.search(bare):
+        if len(bare) >= 16:
             out.append((start, start + len(bare)))
     return out
 
