@@ -11,6 +11,7 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.~-]{16,}")
+#: Characters of a candidate that are judged together; a longer one has the highest score of its windows and parts.
+WINDOW = 512
+PART = re.compile(r"[A-Za-z0-9_+-]{16,}")
 #: Share of all words that a dictionary word must have, so there are fewer than 1 / share.
 SHARE = 1e-4
 #: Words beside or before a candidate, and in its path, that speak for or against a secret.
@@ -39,9 +43,24 @@ class Shape:
     seed: int = 5
 
 
-def covered(text: str, dictionary: frozenset[str], longest: int = 12) -> float:
+@lru_cache(maxsize=4)
+def _longest(dictionary: frozenset[str]) -> int:
+    return max(map(len, dictionary), default=0)
+
+
+def windows(candidate: str) -> list[tuple[int, int]]:
+    """What of a candidate is judged: all of it, or of a long one overlapping windows and the parts between separators."""
+    size = len(candidate)
+    if size <= WINDOW:
+        return [(0, size)]
+    step = WINDOW // 2
+    parts = [m.span() for m in PART.finditer(candidate)]
+    return [(k, min(k + WINDOW, size)) for k in range(0, size - step, step)] + [(a, b) for a, b in parts if b - a <= WINDOW]
+
+
+def covered(text: str, dictionary: frozenset[str]) -> float:
     """Share of the characters that lie in words of the dictionary (three letters at least, longest first)."""
-    low, at, n = text.lower(), 0, 0
+    low, at, n, longest = text.lower(), 0, 0, _longest(dictionary)
     while at < len(low):
         size = next((k for k in range(min(longest, len(low) - at), 2, -1) if low[at : at + k] in dictionary), 0)
         n, at = n + size, at + (size or 1)
@@ -53,18 +72,17 @@ _CLASS = {c: i for i, chars in enumerate((string.ascii_lowercase, string.ascii_u
 
 def features(candidate: str, before: str, after: str, path: str, dictionary: frozenset[str]) -> list[float]:
     """What the forest sees. ``before`` and ``after`` are the text beside the candidate."""
-    head = candidate[:512]
-    kinds = [_CLASS.get(c, 3) for c in head]
+    kinds = [_CLASS.get(c, 3) for c in candidate]
     size = len(kinds)
     moves = np.zeros((4, 4))
     for a, b in zip(kinds, kinds[1:]):
         moves[a, b] += 1
-    counts = np.unique(list(head), return_counts=True)[1] / size
+    counts = np.unique(list(candidate), return_counts=True)[1] / size
     near = re.findall(r"[a-z0-9]+", before[-60:].lower())[-3:]
     glue = 1.0 if before[-1:] in "=:\"'" and before else 0.0
     tail = re.findall(r"[a-z0-9]+", after[:40].lower())[:2]
     places = set(re.split(r"[^a-z0-9]+", path.lower()))
-    hexes = sum(c in "0123456789abcdefABCDEF" for c in head) / size
+    hexes = sum(c in "0123456789abcdefABCDEF" for c in candidate) / size
     return [
         float(np.log1p(len(candidate))),
         *(np.bincount(kinds, minlength=4)[:4] / size),
@@ -74,7 +92,7 @@ def features(candidate: str, before: str, after: str, path: str, dictionary: fro
         float(len(candidate) in (32, 40, 64)),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", candidate))),
         float(bool(re.match(r"AKIA[0-9A-Z]{16}$|gh[pousr]_|sk_live_|xox[bap]-|eyJ", candidate))),
-        covered(head, dictionary),
+        covered(candidate, dictionary),
         glue,
         float(any(w in FOR for w in re.findall(r"[a-z0-9]+", candidate.rpartition("=")[0][-60:].lower()))),
         float(sum(w in FOR for w in near)),
@@ -231,8 +249,11 @@ def scan(docs: DataFrame, findings: pd.DataFrame | None = None, threshold: float
         forest, words = sent.value
         for batch in batches:
             found = [candidates(t) for t in batch["text"]]
-            x = [features(t[a:b], t[max(0, a - 80) : a], t[b : b + 80], p, words) for t, p, spans in zip(batch["text"], batch["source"], found) for a, b in spans]
-            scores = forest.scores(np.array(x)) if x else np.zeros(0)
+            cut = [[(a + i, a + j) for i, j in windows(t[a:b])] for t, spans in zip(batch["text"], found) for a, b in spans]
+            owners = [(t, p) for t, p, spans in zip(batch["text"], batch["source"], found) for _ in spans]
+            x = [features(t[a:b], t[max(0, a - 80) : a], t[b : b + 80], p, words) for (t, p), pieces in zip(owners, cut) for a, b in pieces]
+            begins = np.cumsum([0, *map(len, cut)])[:-1]
+            scores = np.maximum.reduceat(forest.scores(np.array(x)), begins) if x else np.zeros(0)
             ends = np.cumsum([0, *map(len, found)])
             own = [scores[a:b] for a, b in zip(ends, ends[1:])]
             yield pd.DataFrame(
