@@ -10,6 +10,7 @@ single task. Then validators are checked and the headers that a 304 may update a
 from __future__ import annotations
 
 import gzip
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,9 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 #: Records of one URL that are put in order in one go, about.
 BLOCK = 10_000
 
+#: Where a record may begin again after a damaged one.
+HEAD = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
+
 RECORD = "record_id string, kind string, url string, at bigint, status int, headers map<string,string>, payload binary"
 
 
@@ -98,21 +102,28 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _parse(data: bytes) -> Iterator[dict]:
-    """Records of an uncompressed WARC file; a torn last record is left out."""
+    """Records of an uncompressed WARC file; damaged ones are left out, and reading goes on at the next record's head."""
     at = 0
     while True:
         while data[at : at + 2] == b"\r\n":
             at += 2
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+        if end < 0:  # what is left holds no whole head
             return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields.get("content-length") or 0)
-        body = data[end + 4 : end + 4 + size]
-        if not lines[0].startswith("WARC/") or len(body) < size:
-            return
-        at = end + 4 + size
+        length = fields.get("content-length") or "0"
+        size = int(length) if re.fullmatch("[0-9]{1,18}", length) else -1
+        after = end + 4 + size
+        # A record that ends neither at an empty line, nor at another record, nor with the data has a damaged length.
+        if not lines[0].startswith("WARC/") or size < 0 or after > len(data) or not (data[after : after + 4] in (b"", b"\r\n") or data.startswith((b"\r\n\r\n", b"\r\nWARC/", b"WARC/"), after)):
+            head = HEAD.search(data, at + 1)
+            if head is None:
+                return
+            at = head.start()
+            continue
+        body = data[end + 4 : after]
+        at = after
         head, _, payload = body.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", body)
         http = head.decode("latin-1").split("\r\n")
         status = http[0].split(" ")[1] if http[0].startswith("HTTP/") and " " in http[0] else ""
