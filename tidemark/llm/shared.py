@@ -10,12 +10,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows beyond which ``small_join`` shuffles instead of broadcasting.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes beyond which ``small_join`` shuffles instead of broadcasting.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what separates words (every ASCII character but digits and letters).
@@ -72,10 +76,68 @@ def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(quoted(name)), F.lit(0))
+    if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(quoted(name)))), F.lit(0))
+    return F.lit(8)
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the table has at most so many rows and bytes; it is read to find out, but no further than that many rows."""
+    each = reduce(add, [_width(f.name, f.dataType) for f in df.schema.fields], F.lit(8))
+    n, bytes_ = df.select(each.cast("bigint").alias("w")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return n <= rows and bytes_ <= size
+
+
 def small_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts ``right`` only if it has at most ``rows`` rows, which it counts first."""
-    fits = right.limit(rows + 1).count() <= rows
-    return left.join(F.broadcast(right) if fits else right, on, how)
+    """Join that broadcasts ``right`` only if it is small in rows and bytes, which it measures first."""
+    return left.join(F.broadcast(right) if fits(right, rows) else right, on, how)
+
+
+def quoted(name: str) -> Column:
+    """A column by exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def held(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``keys`` and, as ``row``, all columns of a row: whatever these are called, ``unheld`` gives them back."""
+    return docs.select(*[v.alias(k) for k, v in keys.items()], F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("row"))
+
+
+def unheld(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_at``: 1, 2 and so on within each ``key``, which is not null.
+
+    A key's rows are numbered in each partition apart, and only the partitions' counts are put in order, so a key
+    with any number of rows is no single task.
+    """
+    rows = stage(rows.withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = rows.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_at", F.row_number().over(W.partitionBy(key, "_part").orderBy(F.lit(0))))
+    both = rows.join(sizes.select(key, "_part", before.alias("_before")), [key, "_part"])
+    return both.withColumn("_at", F.col("_at") + F.col("_before")).drop("_part", "_before")
+
+
+def sums_before(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``df`` with, under each name, the sum of that expression over all rows that come before in a total ``order``.
+
+    Rows are dealt by ranges of the order; only one total per range is put in order by a single task.
+    """
+    rows = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    whole = rows.groupBy("_part").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    whole = whole.select("_part", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.select("*", *[F.coalesce(F.sum(e).over(inside), F.lit(0)).alias(n) for n, e in sums.items()])
+    both = rows.join(F.broadcast(whole), "_part")  # as many rows as partitions
+    return both.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_part", *[f"_{n}" for n in sums])
 
 
 def lower_ascii(text: Column) -> Column:
