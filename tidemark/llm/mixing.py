@@ -11,10 +11,9 @@ exact, and a source misses its target by less than one document.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import let, scratch, small_join, stage
+from .shared import fits, held, let, numbered, scratch, small_join, stage, sums_before, unheld
 
 #: Fixed value: weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -37,19 +36,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     what a unit of weight gets of the words that are left.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    at = F.row_number().over(order) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (at % len(weights)) + 1)
+    by = sums_before(by, [F.col("source").asc_nulls_last()], at=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("at") % len(weights)).cast("int") + 1)
     by = by.withColumn("weight", weight.cast("bigint")).withColumn("most", F.col("source_size") * F.lit(most))
-    every = W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, all_ = every.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    by = by.withColumn("left", F.sum("source_size").over(all_) - F.coalesce(F.sum("most").over(before), F.lit(0)))
-    by = by.withColumn("shared", F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    capped = F.col("left") * F.col("weight") > F.col("most") * F.col("shared")
-    by = by.withColumn("capped", capped)
-    by = by.withColumn("left", F.min(F.when(~F.col("capped"), F.struct(F.col("most") / F.col("weight"), F.col("left"), F.col("shared")))).over(all_))
-    open_ = (F.col("left").getField("left") * F.col("weight")) / F.col("left").getField("shared")
-    return by.select("source", "source_size", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(open_.cast("double")).alias("target"))
+    by = by.withColumn("ratio", F.col("most") / F.col("weight"))
+    by = stage(sums_before(by, [F.col("ratio"), F.col("source").asc_nulls_last()], most_before=F.col("most"), weight_before=F.col("weight")), "mix-shares")
+    words, unit = by.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left, shared = F.lit(words) - F.col("most_before"), F.lit(unit) - F.col("weight_before")
+    capped = left * F.col("weight") > F.col("most") * shared
+    # The first source that is not capped says what is left for a unit of weight of all that are not.
+    first = by.filter(~capped).agg(F.min(F.struct("ratio", left.alias("left"), shared.alias("shared")))).first()[0]
+    open_ = F.col("weight") * F.lit(first["left"]) / F.lit(first["shared"]) if first else F.lit(None)
+    return by.select("source", "source_size", F.when(capped, F.col("most").cast("double")).otherwise(open_.cast("double")).alias("target"))
 
 
 def _draw(*parts: Column) -> Column:
@@ -97,25 +95,25 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, zero, step)
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _source_key() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, th, i, size, source_size, target, copies.
-
-    ``th`` is the text's hash and ``i`` numbers repeated rows from 1. Null texts have size 0; documents
-    of size 0 have no mass and are rounded alone; null is a source of its own, the last. A document gets at
-    most ``most`` copies. Draws hash the documents, so a rerun gives the same copies.
-    """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+def _settled(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The sources (skey, source, source_size, target, base, p) and what ``copies`` gives."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size(F.col("text")).alias("size"), _text_key().alias("th"))
     rows = rows.groupBy("doc_id", "source", "size", "th").agg(F.count(F.lit(1)).alias("_m"))
     rows = stage(rows, "mix-sizes")
     aims = targets(rows.select("source", (F.col("size") * F.col("_m")).alias("size")), weights, most)
     counts = rows.groupBy("source").agg(F.sum(F.when(F.col("size") > 0, F.col("_m")).otherwise(0)).alias("_n"))
-    aims = stage(aims.withColumn("skey", _source_key()).join(counts.withColumn("skey", _source_key()).drop("source"), "skey"), "mix-targets")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    aims = aims.withColumn("skey", _source_key()).join(counts.withColumn("skey", _source_key()).drop("source"), "skey")
     aims = aims.withColumn("base", F.floor(share + EPS).cast("bigint")).withColumn("p", _snap(F.greatest(share - F.col("base"), F.lit(0.0))))
+    aims = stage(aims, "mix-targets", keep=True)
     units = small_join(rows.withColumn("skey", _source_key()).drop("source"), aims, "skey")
     units = units.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m"))))
     alone = (F.col("size") == 0) | _whole(F.col("p"))
@@ -140,22 +138,45 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
         if most_blocks == 1:
             break
         most_blocks, level = -(-most_blocks // block), level + 1
-    return out
+    return aims, out
+
+
+def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, th, i, size, source_size, target, copies.
+
+    ``th`` is the text's hash and ``i`` numbers repeated rows from 1. Null texts have size 0; documents
+    of size 0 have no mass and are rounded alone; null is a source of its own, the last. A document gets at
+    most ``most`` copies. Draws hash the documents, so a rerun gives the same copies. An empty table gives no
+    rows; other columns are ignored.
+    """
+    return _settled(docs, weights, most, seed, block)[1]
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; columns as in ``docs``."""
+    """The documents themselves, each as often as the mix takes it; columns as in ``docs``, whatever their names.
+
+    Nulls, empty texts and the rounding are as in ``copies``. Rows that repeat doc_id, text and source share what the mix
+    takes of them evenly, and which of them comes once more often is not defined. An empty table stays empty.
+
+    Where a source's documents all get the same number of copies, texts stay where they are read; the others
+    meet their copies in one shuffle, at every size.
+    """
     names = docs.columns
     with scratch(docs.sparkSession):
-        made = copies(docs, **options).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("skey").alias("_skey"), F.col("th").alias("_th")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "copies"))), lambda x: x["copies"]).alias("_copies"))
-        made = stage(made, "mix-copies", keep=True)
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")), "_skey": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    both = small_join(keyed, made, ["_id", "_skey", "_th"])
-    one = both.filter(F.size("_copies") == 1).withColumn("_n", F.element_at("_copies", 1))
-    same = W.partitionBy("_id", "_skey", "_th").orderBy(*[F.col(c).cast("string") for c in names if c not in ("doc_id", "text", "source")], F.lit(0))
-    many = both.filter(F.size("_copies") > 1).withColumn("_r", F.row_number().over(same)).withColumn("_n", F.element_at("_copies", F.col("_r"))).drop("_r")
-    every = one.unionByName(many).filter(F.col("_n") > 0)
-    return every.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(*names)
+        aims, out = _settled(docs, **options)
+        made = out.join(F.broadcast(aims.filter(~_whole(F.col("p"))).select("skey")), "skey", "left_semi") if fits(aims) else out
+        made = stage(made.groupBy("doc_id", "skey", "th").agg(F.count(F.lit(1)).alias("m"), F.sum("copies").alias("n")), "mix-copies", keep=True)
+    rows = held(docs, id=F.col("doc_id").cast("bigint"), skey=F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), th=_text_key())
+    rows = small_join(rows, aims.select("skey", "p", (F.col("base") + F.col("p").cast("bigint")).alias("same")), "skey")
+    sure = rows.filter(_whole(F.col("p"))).select("row", F.col("same").alias("n"))
+    own = made.filter("n > 0").withColumnsRenamed({"doc_id": "_id", "skey": "_skey", "th": "_th"})
+    rest = rows.filter(~_whole(F.col("p"))).join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("skey") == F.col("_skey")) & (F.col("th") == F.col("_th")))
+    each = rest.filter("n % m = 0").select("row", (F.col("n") / F.col("m")).cast("bigint").alias("n"))
+    if not made.filter("n % m != 0").isEmpty():
+        odd = numbered(rest.filter("n % m != 0").select(F.to_json(F.struct("id", "skey", "th")).alias("group"), "m", "n", "row"), "group")
+        each = each.unionByName(odd.select("row", (F.floor(F.col("n") / F.col("m")) + (F.col("_at") <= F.col("n") % F.col("m")).cast("bigint")).alias("n")))
+    every = sure.unionByName(each).filter("n > 0")
+    return unheld(every.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("_again")), names)
 
 
 def shares(docs: DataFrame, **options) -> DataFrame:
