@@ -23,10 +23,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import gram_hashes, let, scratch, small_join, stage, words
+from .shared import fits, gram_hashes, held, let, numbered, scratch, small_join, stage, unheld, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -115,23 +114,31 @@ def node(ws: Column) -> Column:
     return F.unhex(F.md5(F.array_join(ws, " ").cast("binary")))
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _id_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")).alias("id")
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = column.offsets.to_numpy()
     return column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64), np.diff(ends)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, node, shingles) to (doc_id, node, bands), some hundred thousand shingles at a time."""
+    """(id, node, shingles) to (id, node, bands), some hundred thousand shingles at a time."""
     for batch in batches:
         _, lens = _lists(batch.column(2))
-        cuts = np.flatnonzero(np.diff(np.cumsum(lens) // 500_000, prepend=-1))
+        cuts = np.flatnonzero(np.diff(np.cumsum(lens) // 250_000, prepend=-1))
         for a, b in zip(cuts, np.append(cuts[1:], len(lens))):
             some = batch.slice(a, b - a)
             flat, lens_ = _lists(some.column(2))
             keys = band_keys(signatures(flat, lens_, BANDS * ROWS))
             count = np.where(lens_ > 0, BANDS, 0)
             made = pa.ListArray.from_arrays(np.append(0, np.cumsum(count)).astype(np.int32), keys[lens_ > 0].ravel())
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), made], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), made], ["id", "node", "bands"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,26 +232,22 @@ def _unsettled_links(left: DataFrame, nodes: DataFrame, els: DataFrame, similari
     return rows.groupBy("key", "i", "j").applyInPandas(_block_links(similarity), "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, class_id, class_size, kept, node.
-
-    A class holds texts that links of at least ``similarity`` connect; class_id is its least doc_id, and of the
-    class one row with that doc_id stays. Texts without words (null too) are all equal. Texts under five words
-    are one shingle. A null doc_id stays only in a class without others. Whole texts are read.
-    """
-    sign = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("ws"))
-    sign = sign.select("doc_id", node(F.col("ws")).alias("node"), shingles(F.col("ws")).alias("shingles")).mapInArrow(_sign, "doc_id bigint, node binary, bands array<bigint>")
-    sign = stage(sign, "near-bands")
-    nodes = sign.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+def _classes(docs: DataFrame, similarity: float, pivots: int) -> DataFrame:
+    """What ``classes`` gives, with th: the hash of the row's text."""
+    sign = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), words(F.col("text")).alias("ws"))
+    sign = sign.select(F.struct("doc_id", _text_key().alias("th")).alias("id"), node(F.col("ws")).alias("node"), shingles(F.col("ws")).alias("shingles"))
+    sign = stage(sign.mapInArrow(_sign, "id struct<doc_id:bigint,th:bigint>, node binary, bands array<bigint>"), "near-bands")
+    # Of a node the row with the least doc_id stands for it, nulls last; texts with the same th and doc_id are equal.
+    rep = F.min(F.struct(F.col("id.doc_id").isNull().alias("none"), "id.doc_id", "id.th"))
+    nodes = sign.groupBy("node").agg(rep.alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = stage(nodes.select(F.monotonically_increasing_id().alias("nid"), "node", "rep", "n", "bands"), "near-nodes")
     bands = nodes.select(F.explode("bands").alias("key"), "nid")
     shared = bands.groupBy("key").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("lo != hi").select("key")
     members = stage(small_join(bands, stage(shared, "near-keys"), "key"), "near-members")
-    some = stage(small_join(nodes.select("nid", "node", "rep"), members.select("nid").distinct(), "nid", "left_semi"), "near-some")
-    rep = some.select("nid", F.col("node").alias("_node"), F.col("rep").alias("_rep"))
-    fits = rep.limit(200_001).count() <= 200_000
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = texts.join(F.broadcast(rep) if fits else rep, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("nid", "_node", words(F.col("text")).alias("ws")).filter(node(F.col("ws")) == F.col("_node"))
+    some = stage(small_join(nodes.select("nid", "rep"), members.select("nid").distinct(), "nid", "left_semi"), "near-some")
+    reps = some.select("nid", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _text_key().alias("th"))
+    texts = texts.join(F.broadcast(reps) if fits(reps) else reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("nid", words(F.col("text")).alias("ws"))
     els = stage(texts.select("nid", shingles(F.col("ws")).alias("shingles")).mapInArrow(_elements, "nid bigint, els array<bigint>").dropDuplicates(["nid"]), "near-elements")
     comp = some.select(F.col("nid").alias("id"), F.col("nid").alias("comp"))
     state, known = members.select("key", "nid", F.array().cast("array<double>").alias("far")), None
@@ -270,27 +273,38 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOT
             state = stage(seen.select("key", "nid", F.concat("far", F.array(F.when(F.col("nid") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")))).alias("far")), "near-state")
     of = small_join(nodes.select("nid", "node", "rep", "n"), comp.withColumnRenamed("id", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     of = stage(of, "near-of")
-    every = of.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-    of = stage(of.join(every, "comp").select("node", "comp", "class_id", "class_size"), "near-result")
-    rows = sign.select("doc_id", "node").join(of, "node")
-    top = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    head = rows.filter(top).withColumn("kept", F.row_number().over(W.partitionBy("comp").orderBy("node")) == 1)
-    rest = rows.filter(~top).withColumn("kept", F.lit(False))
-    return head.unionByName(rest).select("doc_id", "class_id", "class_size", "kept", "node")
+    every = of.groupBy("comp").agg(F.min("rep").alias("head"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("nodes"))
+    # A class of one node is settled by the node itself; the others meet their class, and only where classes are small in number all at once.
+    of = stage(small_join(of, every.filter("nodes > 1").select("comp", "head", "class_size"), "comp", "left").select("node", F.coalesce("head", "rep").alias("head"), F.coalesce("class_size", "n").alias("class_size")), "near-result")
+    # Equal rows are one until the end; of those that stand for the class exactly one stays.
+    rows = sign.groupBy("id", "node").agg(F.count(F.lit(1)).alias("m")).join(of, "node")
+    top = F.col("id.doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("id.th") == F.col("head.th"))
+    rows = rows.select("id.doc_id", F.col("head.doc_id").alias("class_id"), "class_size", "node", F.col("id.th").alias("th"), top.alias("top"), F.explode(F.sequence(F.lit(1).cast("bigint"), "m")).alias("i"))
+    return rows.select("doc_id", "class_id", "class_size", (F.col("top") & (F.col("i") == 1)).alias("kept"), "node", "th")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, class_id, class_size, kept, node.
+
+    A class holds texts that links of at least ``similarity`` connect; class_id is its least doc_id, and of the
+    class one row with that doc_id stays. Texts without words (null too) are all equal. Texts under five words
+    are one shingle. A null doc_id stays only in a class without others. Of repeated rows each gets a row, and one at most
+    stays. An empty table gives no rows; other columns are ignored. Whole texts are read.
+    """
+    return _classes(docs, similarity, pivots).drop("th")
 
 
 def without_copies(docs: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
-    """``docs`` with one row of each class, columns as before."""
-    names = docs.columns
+    """``docs`` with one row of each class, columns as before, whatever their names.
+
+    Which row stays is as in ``classes``; of rows that repeat both doc_id and text any one stays, as it is. Nulls and
+    empty texts are as there, and an empty table stays empty.
+    """
     with scratch(docs.sparkSession):
-        found = stage(classes(docs, similarity, pivots), "near-found", keep=True)
-    gone = found.groupBy("doc_id", "node").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1")
-    gone = stage(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.when(~F.col("kept"), F.col("node"))).alias("_gone"), F.collect_list(F.when(F.col("kept"), F.col("node"))).alias("_again")), "near-gone")
-    key = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")).alias("_key")
-    rows = small_join(docs.select("*", key), gone.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_key"), "_gone", "_again"), "_key", "left")
-    known = F.col("_gone").isNotNull()
-    rows = rows.filter(F.when(known, ~F.array_contains("_gone", node(words(F.col("text"))))).otherwise(True))
-    again = F.when(known, F.array_contains("_again", node(words(F.col("text"))))).otherwise(False)
-    one = rows.filter(~again)
-    many = rows.filter(again).withColumn("_n", F.row_number().over(W.partitionBy("_key", node(words(F.col("text")))).orderBy("text"))).filter("_n = 1").drop("_n")
-    return one.unionByName(many).select(*names)
+        found = _classes(docs, similarity, pivots).groupBy("doc_id", "th").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+        gone = stage(found.filter("not kept or n > 1").select(_id_key(), "th", "kept"), "near-gone", keep=True)
+    rows = small_join(held(docs, id=_id_key(), th=_text_key()), gone, ["id", "th"], "left").filter(F.coalesce("kept", F.lit(True)))
+    if gone.filter("kept").isEmpty():
+        return unheld(rows, docs.columns)
+    again = numbered(rows.filter("kept").select(F.concat_ws(" ", "th", "id").alias("same"), "row"), "same").filter("_at = 1")
+    return unheld(rows.filter("kept is null").select("row").unionByName(again.select("row")), docs.columns)
