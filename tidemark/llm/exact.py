@@ -2,7 +2,7 @@
 
 Digests that are frequent are found with a Misra-Gries summary, counted exactly, and their verified
 winners (a bounded table) are broadcast: rows with such a digest never reach the shuffle. All other
-digests, each below ``1 / SHARE`` of the rows, are settled by an ordinary shuffle on the digest.
+digests, each below ``1 / SHARE`` of the rows, are settled by an ordinary shuffle, after equal rows were counted map-side.
 
 The summary is Spark's ``approx_top_k``: a frequent-items sketch of the Misra-Gries family (counters
 that are decremented together when the table is full), summed map-side and merged.
@@ -11,7 +11,6 @@ that are decremented together when the table is full), summed map-side and merge
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import stage
@@ -41,12 +40,18 @@ def dedup(docs: DataFrame, share: int = SHARE) -> DataFrame:
     rows = stage(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")), "digests")
     winners = stage(heavy(rows, "text_sha256", share).select("text_sha256", F.col("group_size").alias("_size"), F.col("keep_id").alias("_keep")), "heavy").coalesce(1)
     split = rows.join(F.broadcast(winners), "text_sha256", "left")
-    light, hot = split.filter(F.col("_size").isNull()), split.filter(F.col("_size").isNotNull())
-    group = W.partitionBy("text_sha256")
-    first = F.row_number().over(group.orderBy(F.col("doc_id").desc_nulls_last()))
-    light = light.select("doc_id", F.max("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"), (first == 1).alias("kept"), "text_sha256")
-    # Only the rows that bear the winning id need an order; the rest of a hot group is settled where it was read.
-    top = hot.filter(F.col("doc_id").eqNullSafe(F.col("_keep"))).groupBy("text_sha256").agg(F.first("doc_id").alias("doc_id"), F.first("_keep").alias("keep_id"), F.first("_size").alias("group_size"), F.count(F.lit(1)).alias("_same"))
-    top = top.select("doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("bigint"), "_same")).alias("_i"), "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("_i") == 1).alias("kept"), "text_sha256")
-    rest = hot.filter(~F.col("doc_id").eqNullSafe(F.col("_keep"))).select("doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.lit(False).alias("kept"), "text_sha256")
-    return light.unionByName(top).unionByName(rest)
+    light, hot = split.filter(F.col("_size").isNull()).drop("_size", "_keep"), split.filter(F.col("_size").isNotNull())
+    # Equal rows are counted where they are read; a digest's rows never have to meet in one task.
+    each = stage(light.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_same")), "light")
+    groups = each.groupBy("text_sha256").agg(F.max("doc_id").alias("_keep"), F.sum("_same").alias("_size"), F.count(F.lit(1)).alias("_ids"))
+    # The rows with the winning id come from the groups, the others from a join that only groups of several ids take part in.
+    top = groups.filter(F.col("_ids") == 1).drop("_ids").withColumns({"doc_id": F.col("_keep"), "_same": F.col("_size")})
+    more = each.join(groups.filter("_ids > 1").drop("_ids"), "text_sha256")
+    # Of a heavy digest's rows only those with the winning id are counted; the rest is settled where it was read.
+    wins = F.col("doc_id").eqNullSafe(F.col("_keep"))
+    own = hot.filter(wins).groupBy("text_sha256", "doc_id", "_keep", "_size").agg(F.count(F.lit(1)).alias("_same"))
+    rest = hot.filter(~wins).withColumn("_i", F.lit(2).cast("bigint"))
+    every = top.unionByName(more).unionByName(own)
+    every = every.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), "_same")).alias("_i")).drop("_same").unionByName(rest)
+    kept = F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_i") == 1)
+    return every.select("doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), kept.alias("kept"), "text_sha256")
