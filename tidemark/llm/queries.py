@@ -70,19 +70,20 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op5_lm_score": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
-        flagged AS (SELECT d.*, CAST(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS INT) AS t FROM d),
-        tok AS (SELECT rid, coalesce(t, 0) AS t, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS pw FROM (SELECT rid, t, ws, unnest(range(1, len(ws) + 1)) AS i FROM flagged)),
-        cnt AS (SELECT w, count(*) AS n FROM tok GROUP BY w),
-        voc AS (SELECT w FROM cnt WHERE n >= (SELECT sum(n) FROM cnt) * 1e-5),
-        pr AS (SELECT rid, t, CASE WHEN i = 1 THEN '<s>' ELSE coalesce(a.w, '<u>') END AS p, coalesce(b.w, '<u>') AS c FROM tok LEFT JOIN voc a ON a.w = pw LEFT JOIN voc b ON b.w = tok.w),
+        flagged AS (SELECT d.*, CAST(coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), FALSE) AS INT) AS t FROM d),
+        pr AS (SELECT rid, t, CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END AS p, ws[i] AS c FROM (SELECT rid, t, ws, unnest(range(1, len(ws) + 1)) AS i FROM flagged)),
         g AS (SELECT p, c, count(*) AS n, sum(t) AS nt, count(*) - sum(t) AS nb FROM pr GROUP BY p, c),
-        uni AS (SELECT c, sum(nt) AS ct, sum(nb) AS cb FROM g GROUP BY c),
-        al AS (SELECT sum(nt) AS st, sum(nb) AS sb, sum(n) AS sn, (SELECT count(*) + 2 FROM voc) AS v FROM g),
+        cnt AS (SELECT c, sum(n) AS n, sum(nt) AS nt, sum(nb) AS nb FROM g GROUP BY c),
+        al AS (SELECT sum(n)::DOUBLE AS sn, sum(nt)::DOUBLE AS st, sum(nb)::DOUBLE AS sb, count(*) FILTER (n >= 2) AS v FROM cnt),
+        wd AS (SELECT c, coalesce(k, '') AS k FROM cnt LEFT JOIN (SELECT c AS k FROM cnt WHERE n >= 2) ON k = c),
+        cls AS (SELECT k, sum(n) AS n, sum(nt) AS nt, sum(nb) AS nb FROM wd JOIN cnt USING (c) GROUP BY k),
+        uni AS (SELECT k, CASE WHEN st > 0 THEN 0.9::DOUBLE * nt / st + 0.1::DOUBLE * (n + 1) / (sn + v + 1) ELSE (n + 1) / (sn + v + 1) END AS pt,
+            CASE WHEN sb > 0 THEN 0.9::DOUBLE * nb / sb + 0.1::DOUBLE * (n + 1) / (sn + v + 1) ELSE (n + 1) / (sn + v + 1) END AS pb FROM cls CROSS JOIN al),
         head AS (SELECT p, sum(nt) AS ht, sum(nb) AS hb FROM g GROUP BY p),
-        kept AS (SELECT g.p, g.c, CASE WHEN ht > 0 THEN 0.6::DOUBLE * nt / ht ELSE 0 END AS ft, CASE WHEN hb > 0 THEN 0.6::DOUBLE * nb / hb ELSE 0 END AS fb FROM g JOIN head USING (p) WHERE n >= (SELECT sn FROM al) * 2e-6),
+        kept AS (SELECT g.p, g.c, CASE WHEN ht > 0 THEN 0.6::DOUBLE * nt / ht ELSE 0 END AS ft, CASE WHEN hb > 0 THEN 0.6::DOUBLE * nb / hb ELSE 0 END AS fb FROM g JOIN head USING (p) WHERE n >= 2),
         mass AS (SELECT p, sum(ft) AS mt, sum(fb) AS mb FROM kept GROUP BY p),
-        loss AS (SELECT pr.rid, -ln(coalesce(ft, 0) + (1 - coalesce(mt, 0)) * (ct + 0.5::DOUBLE) / (st + 0.5::DOUBLE * v)) AS lt, -ln(coalesce(fb, 0) + (1 - coalesce(mb, 0)) * (cb + 0.5::DOUBLE) / (sb + 0.5::DOUBLE * v)) AS lb
-            FROM pr JOIN uni USING (c) CROSS JOIN al LEFT JOIN kept ON kept.p = pr.p AND kept.c = pr.c LEFT JOIN mass ON mass.p = pr.p),
+        loss AS (SELECT pr.rid, -ln(coalesce(ft, 0) + (1 - coalesce(mt, 0)) * pt) AS lt, -ln(coalesce(fb, 0) + (1 - coalesce(mb, 0)) * pb) AS lb
+            FROM pr JOIN wd ON wd.c = pr.c JOIN uni USING (k) LEFT JOIN kept ON kept.p = pr.p AND kept.c = pr.c LEFT JOIN mass ON mass.p = pr.p),
         each AS (SELECT rid, count(*) AS n, sum(lt) AS lt, sum(lb) AS lb FROM loss GROUP BY rid)
         SELECT doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(lt / n, 0), 6) + 0.0::DOUBLE AS loss_target, round(coalesce(lb / n, 0), 6) + 0.0::DOUBLE AS loss_background, round(coalesce((lb - lt) / n, 0), 6) + 0.0::DOUBLE AS score
         FROM d LEFT JOIN each USING (rid)""",
