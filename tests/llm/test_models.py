@@ -128,26 +128,31 @@ def test_toxicity_reads_long_tokens_to_their_end():
     assert scorer.scores([signs(500) + "\u9000\u9001\u9002\u9003" + signs(50)])[0] > scorer.scores([signs(550)])[0]
 
 
-def brute_lm(docs, target, word_share, bigram_share):
+def brute_lm(docs, target, least):
     split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     own = {i: split.findall("".join(c.lower() if c.isascii() else c for c in t or "")) for i, t in docs}
     total = collections.Counter(w for ws in own.values() for w in ws)
-    vocab = {w for w, n in total.items() if n >= sum(total.values()) * word_share}
-    pairs = {i: list(zip(["<s>", *(w if w in vocab else "<u>" for w in ws)], (w if w in vocab else "<u>" for w in ws))) for i, ws in own.items()}
+    vocab = {w: n for w, n in total.items() if n >= least}
+    known = lambda w: w if w in vocab else None
+    pairs = {i: list(zip(["<s>", *ws], ws)) for i, ws in own.items()}
     every = collections.Counter(p for ps in pairs.values() for p in ps)
-    kept = {p for p, n in every.items() if n >= sum(every.values()) * bigram_share}
+    kept = {p for p, n in every.items() if n >= least}
+    size = sum(total.values())
+    shared = collections.Counter(known(w) for ws in own.values() for w in ws)
+    floor = lambda w: (shared[known(w)] + 1) / (size + len(vocab) + 1)
 
     def model(ids):
         two = collections.Counter(p for i in ids for p in pairs[i])
         one, head = collections.Counter(), collections.Counter()
         for (a, b), n in two.items():
-            one[b] += n
+            one[known(b)] += n
             head[a] += n
         share = lambda p: lm.WEIGHT * two[p] / head[p[0]] if head[p[0]] else 0.0
         mass = collections.Counter()
         for p in kept:
             mass[p[0]] += share(p)
-        uni = lambda w: (one[w] + lm.ADD) / (sum(one.values()) + lm.ADD * (len(vocab) + 2))
+        n = sum(one.values())
+        uni = lambda w: (1 - lm.FLOOR) * one[known(w)] / n + lm.FLOOR * floor(w) if n else floor(w)
         return lambda p: -math.log((share(p) if p in kept else 0.0) + (1 - mass[p[0]]) * uni(p[1]))
 
     t, b = model([i for i in pairs if i in target]), model([i for i in pairs if i not in target])
@@ -158,14 +163,16 @@ def test_lm_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(1).alias("score")).unionByName(spark.createDataFrame([(10001, None, 1), (10002, "!!", 1), (10003, "word " * 20000, 1)], "doc_id bigint, text string, score int"))
     target = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1")
     ids = {r["doc_id"] for r in target.collect()}
-    want = brute_lm([(r["doc_id"], r["text"]) for r in docs.collect()], ids, 1e-3, 1e-4)
-    got = lm.scores(docs, target, word_share=1e-3, bigram_share=1e-4).collect()
-    assert len(got) == docs.count()
-    for r in got:
-        n, t, b = want[r["doc_id"]]
-        assert r["n_tokens"] == n and math.isclose(r["loss_target"], t, abs_tol=1e-9) and math.isclose(r["score"], b - t, abs_tol=1e-9)
+    # All entries in the broadcast table, some, and none: the shuffle must give the same for the rest.
+    for least, frequent in ((2, 1e-5), (2, 1e-3), (3, 0.9)):
+        want = brute_lm([(r["doc_id"], r["text"]) for r in docs.collect()], ids, least)
+        got = lm.scores(docs, target, least=least, frequent=frequent).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            n, t, b = want[r["doc_id"]]
+            assert r["n_tokens"] == n and math.isclose(r["loss_target"], t, abs_tol=1e-9) and math.isclose(r["score"], b - t, abs_tol=1e-9)
     assert lm.scores(docs.limit(0), target).count() == 0
-    assert lm.scores(docs, target.limit(0)).count() == docs.count()
+    assert {r["score"] for r in lm.scores(docs.limit(40), target.limit(0)).collect()} != {0.0}
 
 
 def test_secrets_forest_and_scan(spark):
@@ -262,7 +269,7 @@ def test_warc_files_and_revisits(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(warc.write(records[3:6])) + gzip.compress(warc.write(records[6:])))
     back = warc.read(spark, str(tmp_path))
     assert back.filter("record_id = 'r1'").first()["payload"] == one["payload"] and back.count() == 7
-    got = {r["record_id"]: r for r in warc.resolve(back, block=2).collect()}
+    got = {r["record_id"]: r for r in warc.resolve(back, blocks=3).collect()}
     assert {k: (r["found_id"], r["reason"]) for k, r in got.items()} == {"v1": ("r1", "resolved"), "v0": (None, "no earlier response"), "v2": (None, "validator differs"), "v3": (None, "no validator"), "v4": (None, "no earlier response")}
     assert got["v1"]["headers"] == {"etag": '"1"', "content-type": "text/html", "expires": "9"}
     assert warc.resolve(back.limit(0)).count() == 0
@@ -271,5 +278,5 @@ def test_warc_files_and_revisits(spark, tmp_path):
 def test_warc_blocks_agree(spark):
     pages = spark.createDataFrame([(i, "http://hot.org/x" if i % 2 else f"http://a.org/{i % 5}", str(i)) for i in range(200)], "page_id bigint, url string, html string")
     records = warc.captures(pages)
-    rows = [sorted(map(repr, warc.resolve(records, block=b).drop("headers").collect())) for b in (3, 10_000)]
+    rows = [sorted(map(repr, warc.resolve(records, blocks=b).drop("headers").collect())) for b in (1, 60)]
     assert rows[0] == rows[1]

@@ -2,16 +2,17 @@
 
 A server that answers 304 sends no body; the record stands for the latest earlier full response of the same
 canonical URL. Records are joined as of their time: full responses and revisits of a URL are put in order and
-each revisit takes the last response before it. A URL's records are cut into blocks of time first, blocks are summed up
+each revisit takes the last response before it. Records are cut into blocks of about as many rows first, blocks are summed up
 side by side, and only their summaries are carried forward, so a URL with a third of all records is no
 single task. Then validators are checked and the headers that a 304 may update are merged.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,8 +22,6 @@ from .shared import small_join, stage
 
 #: Header fields that a 304 response may update in what it stands for.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-#: Records of one URL that are put in order in one go, about.
-BLOCK = 10_000
 
 #: Where a record may begin again after a damaged one.
 HEAD = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
@@ -40,17 +39,18 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def latest(records: DataFrame, block: int = BLOCK) -> DataFrame:
+def latest(records: DataFrame, blocks: int | None = None) -> DataFrame:
     """``records`` (key, at, record_id, full, held) with ``found``: ``held`` of the last full row before each row.
 
-    Rows at the same time are in order of record_id. Blocks of time are as many as a key's rows need.
+    Rows at the same time are in order of record_id; of rows equal in that as well, any comes first. Blocks are ranges of
+    (key, at, record_id) with about the same number of rows each (``blocks`` of them; by default as many as shuffle
+    partitions), so a burst of one URL is many blocks.
     """
-    sizes = records.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias("_from"), F.max("at").alias("_to"))
-    width = F.greatest(F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / block)).cast("bigint"), F.lit(1))
-    rows = small_join(records, stage(sizes.select("key", F.col("_from"), width.alias("_width")), "warc-sizes"), "key")
-    rows = rows.withColumn("_b", F.coalesce(F.floor((F.col("at") - F.col("_from")) / F.col("_width")), F.lit(-1))).drop("_from", "_width")
+    order = ("key", "at", "record_id")
+    dealt = records.repartitionByRange(blocks, *order) if blocks else records.repartitionByRange(*order)
+    rows = stage(dealt.withColumn("_b", F.spark_partition_id()), "warc-blocks")
     held = F.when(F.col("full"), F.struct("at", "record_id", "held"))
-    sums = rows.groupBy("key", "_b").agg(F.max(held).alias("_last"))
+    sums = rows.groupBy("key", "_b").agg(F.max_by(held, F.when(F.col("full"), F.struct("at", "record_id"))).alias("_last"))
     before = W.partitionBy("key").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("key", "_b", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     inside = W.partitionBy("key", "_b").orderBy("at", "record_id").rowsBetween(W.unboundedPreceding, -1)
@@ -58,21 +58,29 @@ def latest(records: DataFrame, block: int = BLOCK) -> DataFrame:
     return small_join(rows, stage(sums.filter("_carried is not null"), "warc-carried"), ["key", "_b"], "left").withColumn("found", F.coalesce("_near", "_carried")["held"]).drop("_b", "_near", "_carried")
 
 
+def _lowered(headers: Column) -> Column:
+    """Names in lower case; of names that differ by case alone the last counts. Null is no header."""
+    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    low = F.transform(entries, lambda x: F.struct(F.lower(x["key"]).alias("key"), x["value"].alias("value")))
+    return F.map_from_entries(F.filter(low, lambda x, i: ~F.exists(F.slice(low, i + 2, F.size(low)), lambda y: y["key"] == x["key"])))
+
+
 def _header(name: str) -> Column:
     return F.col("headers").getItem(name)
 
 
-def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
+def resolve(records: DataFrame, blocks: int | None = None) -> DataFrame:
     """Every revisit with what it stands for: record_id, url, key, at, found_id, reason, headers.
 
-    ``records`` has the columns of ``RECORD``; header names are lower case. A full response has kind ``response`` and
+    ``records`` has the columns of ``RECORD``, others are ignored; header names are made lower case. A full response has kind ``response`` and
     status 200; a revisit has kind ``revisit``. reason is ``resolved``; ``no earlier response``; ``validator differs``
     if both sides carry an etag and these differ (weak marks aside), or, without etags, both carry a last-modified
     and the response's is later; or ``no validator`` if neither pair can be compared. found_id is null unless resolved.
     headers are the response's, with permitted fields of the 304 in their place. Null urls or times match nothing;
-    repeated records give repeated rows. Bodies are not moved: found_id names the record that has it.
+    repeated records give repeated rows; of records at the same time the one with the lesser record_id is the earlier. An
+    empty table gives no rows. Bodies are not moved: found_id names the record that has it.
     """
-    rows = records.select("record_id", "kind", "url", "at", "status", F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k)).alias("headers"))
+    rows = records.select("record_id", "kind", "url", "at", "status", _lowered(F.col("headers")).alias("headers"))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     rows = rows.withColumn("key", canonical(F.col("url"))).filter((F.col("kind") == "revisit") | full)
     rows = rows.withColumn("full", F.coalesce(full, F.lit(False))).withColumn("held", F.struct(F.col("record_id").alias("id"), F.map_entries("headers").alias("headers")))
@@ -80,7 +88,7 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     lost = rows.filter(~known & ~F.col("full")).withColumn("found", F.lit(None).cast(rows.schema["held"].dataType))
     # Written once: texts are not read again, and a lost executor costs little.
     rows = stage(rows, "warc-rows")
-    seen = latest(rows.filter(known), block).filter(~F.col("full"))
+    seen = latest(rows.filter(known), blocks).filter(~F.col("full"))
     both = seen.unionByName(lost).withColumn("old", F.map_from_entries("found.headers"))
     strip = lambda c: F.regexp_replace(c, "^W/", "")
     old_tag, new_tag = strip(F.col("old").getItem("etag")), strip(_header("etag"))
@@ -127,31 +135,73 @@ def _parse(data: bytes) -> Iterator[dict]:
         head, _, payload = body.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", body)
         http = head.decode("latin-1").split("\r\n")
         status = http[0].split(" ")[1] if http[0].startswith("HTTP/") and " " in http[0] else ""
-        yield {"fields": fields, "status": int(status) if status.isdigit() else None, "headers": {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http[1:]) if k.strip()}, "payload": payload}
+        yield {"fields": fields, "status": int(status) if re.fullmatch("[0-9]{3}", status) else None, "headers": {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http[1:]) if k.strip()}, "payload": payload}
+
+
+def unpacked(data: bytes) -> bytes:
+    """What can be read of a file, plain or gzip: of a torn or damaged member its sound beginning, then on at the next member."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at = [], 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        view, used = memoryview(data), at
+        try:
+            while used < len(data) and not member.eof:
+                step = view[used : used + (1 << 16)]
+                out.append(member.decompress(step))
+                used += len(step)
+        except zlib.error:
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+            if at < 0:
+                break
+            continue
+        at = used - len(member.unused_data)
+        while member.eof and at < len(data) and data[at] == 0:  # padding
+            at += 1
+        if not member.eof:
+            break
+    return b"".join(out)
+
 
+def moment(text: str | None) -> int | None:
+    """Milliseconds since 1970 of a WARC-Date; None if it is none."""
+    import datetime
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """WARC files (plain or gzip) below ``path`` as records; ``at`` is milliseconds since 1970."""
+    try:
+        when = datetime.datetime.fromisoformat((text or "").strip())
+    except ValueError:
+        return None
+    when = when if when.tzinfo else when.replace(tzinfo=datetime.UTC)
+    return (when - datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)) // datetime.timedelta(milliseconds=1)
+
+
+def read(spark: SparkSession, path: str, rows: int = 1000) -> DataFrame:
+    """WARC files (plain or gzip) below ``path`` as records, ``rows`` at a time; ``at`` is milliseconds since 1970.
+
+    Damaged records, and what is torn off a file's end, are left out; a date that cannot be read is null, and so is a missing
+    field. An empty file has no records. A file is read by one task as a whole, so it must fit a worker; crawlers write files
+    of about a gigabyte.
+    """
     import pandas as pd
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [
-                    {
-                        "record_id": r["fields"].get("warc-record-id"),
-                        "kind": r["fields"].get("warc-type"),
-                        "url": r["fields"].get("warc-target-uri"),
-                        "at": int(pd.Timestamp(r["fields"]["warc-date"]).value // 1_000_000) if r["fields"].get("warc-date") else None,
-                        "status": r["status"],
-                        "headers": r["headers"],
-                        "payload": r["payload"],
-                    }
-                    for r in _parse(data)
-                ]
-                frame = pd.DataFrame(rows, columns=["record_id", "kind", "url", "at", "status", "headers", "payload"])
-                yield frame.astype({"at": "Int64", "status": "Int32"})
+                records = _parse(unpacked(bytes(data)))
+                while some := list(islice(records, rows)):
+                    frame = pd.DataFrame(
+                        {
+                            "record_id": [r["fields"].get("warc-record-id") for r in some],
+                            "kind": [r["fields"].get("warc-type") for r in some],
+                            "url": [r["fields"].get("warc-target-uri") for r in some],
+                            "at": [moment(r["fields"].get("warc-date")) for r in some],
+                            "status": [r["status"] for r in some],
+                            "headers": [r["headers"] for r in some],
+                            "payload": [r["payload"] for r in some],
+                        }
+                    )
+                    yield frame.astype({"at": "Int64", "status": "Int32"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(parse, RECORD)
