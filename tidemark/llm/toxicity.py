@@ -1,13 +1,13 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained here in numpy.
 
-A word is the bag of its character n-grams (with word ends) and itself, hashed to buckets. Bucket vectors
-are averaged and go through a linear softmax of two classes; vectors and softmax are trained together, so an
+A bag holds the character n-grams (with word ends) of some words and the words themselves, hashed to buckets. The vectors
+of a bag are averaged and go through a linear softmax of two classes; vectors and softmax are trained together, so an
 unseen misspelling or inflection shares the vectors of the n-grams it has in common with known words.
 
-Documents are labelled, words are not. Training starts from every word having the label of its documents,
-and goes on with each document judged by its most toxic word (the pooling that scoring uses as well), so a
-single insult in a text of 20,000 words counts, and a long clean text stays clean. Long tokens, as in text without
-spaces, are taken apart and read to their end.
+The bags of a text are its windows of ``Shape.window`` words in a row (a shorter text is one window), and a text is judged by
+its most toxic window, in training as in scoring: a single insult in a text of 20,000 words counts, and a long clean text
+stays clean. Documents are labelled, windows are not, so training starts from bags of single words, each with the label of its
+documents. Long tokens, as in text without spaces, are taken apart and read to their end.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.7
 #: Bound of the training sample, in labelled rows of each class.
 SAMPLE = 3_000
-#: Words whose scores a task remembers.
-REMEMBERED = 200_000
+#: Tokens whose sums a task remembers.
+REMEMBERED = 300_000
 #: Words whose n-grams are made in one go.
-CHUNK = 50_000
+CHUNK = 20_000
 #: Characters of a token beyond which it is taken apart and not remembered, and of the pieces of an unbroken run.
 LONG, PIECE = 64, 24
 BREAK = re.compile(r"[^\w\u0300-\u036f\u0900-\u0dff\u0e00-\u0eff]+|_+")
@@ -38,7 +39,7 @@ EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
 
 @dataclass(frozen=True)
 class Shape:
-    """Of the model: 2**bits buckets, vectors of dim numbers, n-grams from low to high characters.
+    """Of the model: 2**bits buckets, vectors of dim numbers, n-grams from low to high characters, windows of so many words.
 
     Training ends after ``rounds``, or as soon as the mean loss (both classes weigh the same) is below ``loss``.
     """
@@ -47,6 +48,7 @@ class Shape:
     dim: int = 8
     low: int = 3
     high: int = 6
+    window: int = 4
     warm: int = 12
     rounds: int = 60
     loss: float = 0.01
@@ -77,6 +79,11 @@ def pieces(token: str) -> list[str]:
     return out
 
 
+def in_order(text: str) -> list[str]:
+    """The words of a text as they come."""
+    return [w for token in text.split() for w in pieces(token)]
+
+
 def features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of each word, one word after the other, and where each word begins."""
     marked = [f"<{w}>" for w in words]
@@ -103,12 +110,27 @@ def features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(grams)[order].astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 
-def word_logits(words: list[str], weights: np.ndarray, bias: float, shape: Shape) -> np.ndarray:
-    """How much likelier label 1 is for each word alone; ``weights`` has one number per bucket."""
+def bag_sums(words: list[str], weights: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word, the sum of its buckets' ``weights`` and how many there are."""
     if not words:
-        return np.zeros(0)
-    buckets, begins = features(words, shape)
-    return np.add.reduceat(weights[buckets], begins[:-1]) / np.diff(begins) + bias
+        return np.zeros(0), np.zeros(0)
+    made = [features(words[k : k + CHUNK], shape) for k in range(0, len(words), CHUNK)]
+    return np.concatenate([np.add.reduceat(weights[b], at[:-1], dtype=np.float64) for b, at in made]), np.concatenate([np.diff(at) for _, at in made]).astype(np.float64)
+
+
+def windows(sums: np.ndarray, counts: np.ndarray, lens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of ``lens`` words one after the other: start, end and mean of each window, text by text.
+
+    A text of fewer words is one window, and one without words has none; a window without n-grams has the mean 0.
+    """
+    total, size = np.append(0.0, np.cumsum(sums)), np.append(0.0, np.cumsum(counts))
+    first = np.repeat(np.cumsum(lens) - lens, lens)
+    last = np.repeat(np.cumsum(lens), lens)
+    start = np.arange(len(sums))
+    some = (start + width <= last) | (start == first)
+    start, last = start[some], last[some]
+    end = np.minimum(start + width, last)
+    return start, end, (total[end] - total[start]) / np.maximum(size[end] - size[start], 1)
 
 
 def train(texts: list[str | None], labels: np.ndarray, shape: Shape = Shape()) -> tuple[np.ndarray, float]:
@@ -121,47 +143,37 @@ def train(texts: list[str | None], labels: np.ndarray, shape: Shape = Shape()) -
         share = float(labels.mean()) if len(texts) else 0.0
         return np.zeros(size, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     vocabulary: dict[str, int] = {}
-    bags = [np.unique(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in {w for t in set((text or "").split()) for w in pieces(t)}), np.int64)) for text in texts]
+    every = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in in_order(text or "")), np.int64) for text in texts]
     words = list(vocabulary)
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    flat = np.concatenate(bags) if len(doc) else np.zeros(0, np.int64)
-    if not len(flat):
+    full = [i for i, e in enumerate(every) if len(e)]
+    if not full:
         return np.zeros(size, np.float32), 0.0
+    flat, lens, y = np.concatenate([every[i] for i in full]), np.array([len(every[i]) for i in full]), labels[full].astype(np.float64)
+    n_pos, n_neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     made = [features(words[k : k + CHUNK], shape) for k in range(0, len(words), CHUNK)]
     buckets, counts = np.concatenate([b for b, _ in made]), np.concatenate([np.diff(at) for _, at in made])
     begins = np.append(0, np.cumsum(counts))
-    del made
+    del made, every
     rng = np.random.default_rng(shape.seed)
     vectors = rng.normal(0, 0.3, (size, shape.dim)).astype(np.float32)
     softmax = rng.normal(0, 0.3, (2, shape.dim)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen_v, seen_s, seen_b = np.full(size, 1e-3, np.float32), np.full((2, shape.dim), 1e-3, np.float32), np.full(2, 1e-3, np.float32)
 
-    def forward(some: np.ndarray | None) -> np.ndarray:
-        """Mean vectors of some words (all: None)."""
-        if some is None:
-            return np.stack([np.add.reduceat(vectors[:, k][buckets], begins[:-1]) / counts for k in range(shape.dim)], 1)
-        idx, own = spread(some)
-        mean = np.zeros((len(some), shape.dim), np.float32)
-        np.add.at(mean, own, vectors[buckets[idx]])
-        return mean / counts[some][:, None]
-
-    def spread(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def update(some: np.ndarray, bag: np.ndarray, bags: int, weight: np.ndarray, want: np.ndarray) -> None:
+        """A step (Adagrad) on bags of words (``bag``: which one each word is in), each with its weight and the share of label 1 that it should have."""
+        nonlocal softmax, bias
         own = np.repeat(np.arange(len(some)), counts[some])
         first = np.repeat(np.cumsum(counts[some]) - counts[some], counts[some])
-        return np.arange(len(own)) - first + np.repeat(begins[some], counts[some]), own
-
-    def update(some: np.ndarray, weight: np.ndarray, want: np.ndarray) -> None:
-        """A step (Adagrad) on words, each with its weight and the share of label 1 that it should have."""
-        nonlocal softmax, bias
-        mean = forward(some)
+        b = buckets[np.arange(len(own)) - first + np.repeat(begins[some], counts[some])]
+        own = bag[own]
+        n = np.bincount(own, minlength=bags)
+        mean = np.stack([np.bincount(own, vectors[b, k], bags) for k in range(shape.dim)], 1) / n[:, None]
         z = mean @ softmax.T + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = ((p - np.stack([1 - want, want], 1)) * weight[:, None]).astype(np.float32)
-        gs, gb, gm = g.T @ mean, g.sum(0), (g @ softmax) / counts[some][:, None]
-        idx, own = spread(some)
-        b = buckets[idx]
+        gs, gb, gm = g.T @ mean.astype(np.float32), g.sum(0), (g @ softmax) / n[:, None]
         used, inverse = np.unique(b, return_inverse=True)
         gv = np.stack([np.bincount(inverse, gm[own, k], len(used)) for k in range(shape.dim)], 1).astype(np.float32)
         seen_v[used] += (gv**2).mean(1)
@@ -171,31 +183,28 @@ def train(texts: list[str | None], labels: np.ndarray, shape: Shape = Shape()) -
         seen_b[:] += gb**2
         bias = bias - shape.rate * 0.2 * gb / np.sqrt(seen_b)
 
-    y = labels.astype(np.float64)
-    n_pos, n_neg = y.sum(), len(y) - y.sum()
-    with_1 = np.bincount(flat, y[doc], len(words))
-    with_0 = np.bincount(flat, 1 - y[doc], len(words))
     # Each word with the share of label 1 among its documents, both classes with the same weight.
-    f1, f0 = with_1 / n_pos, with_0 / n_neg
-    support = with_1 + with_0
+    pairs = np.unique(np.repeat(np.arange(len(lens)), lens) * len(words) + flat)
+    doc, word = pairs // len(words), pairs % len(words)
+    f1, f0 = np.bincount(word, y[doc], len(words)) / n_pos, np.bincount(word, 1 - y[doc], len(words)) / n_neg
+    support = np.bincount(word, minlength=len(words))
     many = np.flatnonzero(support >= min(3, support.max()))
     for _ in range(shape.warm):
-        update(many, (support[many] / support[many].mean()), (f1[many] + 1 / n_pos * 0.1) / (f1[many] + f0[many] + 0.1 / n_pos + 1 / n_neg))
-    heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    of = doc[heads]
+        update(many, np.arange(len(many)), len(many), support[many] / support[many].mean(), (f1[many] + 1 / n_pos * 0.1) / (f1[many] + f0[many] + 0.1 / n_pos + 1 / n_neg))
+    weight = np.where(y == 1, 1 / n_pos, 1 / n_neg)
     for _ in range(shape.rounds):
-        z = forward(None) @ (softmax[1] - softmax[0])
-        zf = z[flat]
-        most = np.maximum.reduceat(zf, heads)
-        margin = np.where(y[of] == 1, most, -most) + np.where(y[of] == 1, 1, -1) * (bias[1] - bias[0])
-        if np.average(np.logaddexp(0, -margin), weights=np.where(y[of] == 1, 1 / n_pos, 1 / n_neg)) < shape.loss:
+        plain_ = vectors @ (softmax[1] - softmax[0])
+        sums = np.add.reduceat(plain_[buckets], begins[:-1], dtype=np.float64)
+        start, end, mean = windows(sums[flat], counts[flat].astype(np.float64), lens, shape.window)
+        heads = np.flatnonzero(np.r_[True, np.searchsorted(np.cumsum(lens), start[1:], "right") != np.searchsorted(np.cumsum(lens), start[:-1], "right")])
+        most = np.maximum.reduceat(mean, heads)
+        margin = (most + bias[1] - bias[0]) * np.where(y == 1, 1, -1)
+        if np.average(np.logaddexp(0, -margin), weights=weight) < shape.loss:
             break
-        best = flat[np.minimum.reduceat(np.where(zf == np.repeat(most, np.diff(np.r_[heads, len(flat)])), np.arange(len(flat)), len(flat)), heads)]
-        some, inverse = np.unique(best, return_inverse=True)
-        w1 = np.bincount(inverse, y[of], len(some)) / n_pos
-        w0 = np.bincount(inverse, 1 - y[of], len(some)) / n_neg
-        weight = (w1 + w0) * len(some)
-        update(some, weight, w1 / (w1 + w0))
+        best = np.minimum.reduceat(np.where(mean == np.repeat(most, np.diff(np.r_[heads, len(mean)])), np.arange(len(mean)), len(mean)), heads)
+        size_ = (end - start)[best]
+        at = np.repeat(start[best] - (np.cumsum(size_) - size_), size_) + np.arange(size_.sum())
+        update(flat[at], np.repeat(np.arange(len(best)), size_), len(best), weight * len(best), y)
     return (vectors @ (softmax[1] - softmax[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -213,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shape: Shape =
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(shape.seed))
+    # A repeated doc_id brings all its rows, of which the least text is learned from.
     chosen = known.filter("toxic = 0").orderBy(order, "doc_id").limit(sample).unionByName(known.filter("toxic = 1").orderBy(order, "doc_id").limit(sample))
-    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = list(batches)
@@ -229,33 +239,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shape: Shape =
 
 
 class Scorer:
-    """Scores texts and remembers the words it has met, but for long ones."""
+    """Scores texts and remembers the tokens it has met, but for long ones."""
 
     def __init__(self, weights: np.ndarray, bias: float, shape: Shape = Shape()):
-        self.weights, self.bias, self.shape, self.known = weights, bias, shape, {}
+        self.weights, self.bias, self.shape = weights, bias, shape
+        self.known: dict[str, int] = {}
+        self.sums, self.counts = np.zeros(0), np.zeros(0)
+
+    def _tokens(self, text: str) -> list[str]:
+        tokens = text.split()
+        if max(map(len, tokens), default=0) <= LONG:
+            return tokens
+        return [w for t in tokens for w in ((t,) if len(t) <= LONG else pieces(t))]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """One score per text; a text without words has the score of an empty bag."""
-        bags = [set((t or "").split()) for t in texts]
-        new = list(set().union(*bags) - self.known.keys()) if bags else []
-        extra: dict[str, float] = {}
-        for k in range(0, len(new), CHUNK):
-            tokens = new[k : k + CHUNK]
-            cut = [pieces(t) for t in tokens]
-            words = sorted(set().union(*cut))
-            logit: dict[str, float] = {}
-            for j in range(0, len(words), CHUNK):
-                some = words[j : j + CHUNK]
-                logit.update(zip(some, word_logits(some, self.weights, self.bias, self.shape)))
-            extra.update((t, max((logit[w] for w in c), default=self.bias)) for t, c in zip(tokens, cut))
-        short = {t: z for t, z in extra.items() if len(t) <= LONG}
-        if fits := len(self.known) + len(short) <= REMEMBERED:  # a full store keeps what it has: frequent words come early
-            self.known.update(short)
-        if fits and len(short) == len(extra):
-            get = self.known.__getitem__
-        else:
-            get = lambda t: self.known[t] if t in self.known else extra[t]
-        z = np.fromiter((max(map(get, b), default=self.bias) for b in bags), np.float64, len(bags))
+        every = [self._tokens(t or "") for t in texts]
+        new = list(set().union(*every) - self.known.keys()) if every else []
+        if len(self.known) + len(new) > REMEMBERED:  # begin anew: frequent tokens come back at once
+            self.known, self.sums, self.counts = {}, np.zeros(0), np.zeros(0)
+            new = list(set().union(*every))
+        bare = [plain(t) for t in new]
+        some = sorted(set(bare) - {""})
+        own = dict(zip(some, zip(*bag_sums(some, self.weights, self.shape))))
+        made = np.array([own.get(w, (0.0, 0.0)) for w in bare]).reshape(-1, 2)
+        self.known.update(zip(new, range(len(self.sums), len(self.sums) + len(new))))
+        self.sums, self.counts = np.append(self.sums, made[:, 0]), np.append(self.counts, made[:, 1])
+        lens = np.fromiter(map(len, every), np.int64, len(every))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(every)), np.int64, lens.sum())
+        at = at[solid] if not (solid := self.counts[at] > 0).all() else at  # what is punctuation alone is no word
+        if len(at) < len(solid):
+            lens = np.bincount(np.repeat(np.arange(len(lens)), lens)[solid], minlength=len(lens))
+        z = np.full(len(every), float(self.bias))
+        full = np.flatnonzero(lens)
+        if len(full):
+            start, _, mean = windows(self.sums[at], self.counts[at], lens, self.shape.window)
+            z[full] += np.maximum.reduceat(mean, np.searchsorted(start, (np.cumsum(lens) - lens)[full]))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -284,6 +303,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, shape: Shape = Shape()) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic, columns as before."""
+    """``docs`` without the documents that are predicted toxic, columns as before, whatever their names.
+
+    Nulls, empty texts, repeated rows and labels are as in ``scored``; without labels of both classes every document has the
+    same score. An empty table stays empty.
+    """
     score = score_udf(docs.sparkSession, fit(docs, labels, sample, shape), shape)
     return docs.filter(score(F.coalesce("text", F.lit(""))) < threshold)
