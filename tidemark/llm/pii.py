@@ -1,8 +1,8 @@
 """Personal data: pattern spans, and terms that disclose the people behind them (DataFrame functions only).
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Beyond them, a term can give an entity away
-even when the entity itself is masked. How much it gives away is estimated from the corpus: with contexts
-(all words of a document that names the entity) as the unit of co-occurrence, the pointwise mutual information
+even when the entity itself is masked. How much it gives away is estimated from the corpus: with bags
+(the set of words of a document, copies counted once) as the unit of every count, the pointwise mutual information
 of term and entity, as a share of the entity's own information content, is the part of the entity that
 the term discloses. Most values are too rare for evidence of their own, so it is pooled as well: by the domain of
 e-mail addresses, and by kind. Terms above the upper threshold are removed from the entity's documents, terms above
@@ -110,30 +110,43 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def _plain(text: Column) -> Column:
+    """The text without e-mail addresses: an address is no context of its own."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+
+
+def _bag(words: Column) -> Column:
+    """The same number for the same set of words, whatever their order."""
+    return F.xxhash64(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))))
+
+
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """entity, term, share: terms that disclose at least ``least`` of an entity's information.
 
-    ``found`` is what ``base`` gives, with texts. Documents with the same words count once, so copies are no
-    evidence; an e-mail address is no context of its own. An entity's probability is the share of documents that
-    name it; given a term, it is the share of the term's documents, smoothed by one more document at the plain odds.
+    ``found`` is what ``base`` gives, with texts. The unit of every count is the bag, a distinct set of words that is the text of
+    some document: copies are one bag and no evidence. An entity's probability is the share of bags that
+    name it; given a term, it is the share of the term's bags, smoothed by one more bag at the plain odds.
     """
     spans = F.concat(*[F.col(f"s_{k}") for k in PATTERNS])
-    words = F.array_sort(F.array_distinct(terms(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), PATTERNS["email"], " "))))
+    words = F.array_distinct(terms(_plain(F.col("text"))))
     named = found.filter(F.size(spans) > 0).select(_entities(spans).alias("entities"), words.alias("words"))
-    named = stage(named.withColumn("bag", F.sha2(F.array_join("words", " "), 256)), "pii-named")
+    named = stage(named.withColumn("bag", _bag(F.col("words"))), "pii-named")
     contexts = named.select(F.explode("entities").alias("entity"), "bag").distinct()
     # Only entities with as many contexts can have a term with them, so the others are left out before words are counted.
     alone = stage(contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support), "pii-alone")
     bags = named.select("bag", "words").dropDuplicates(["bag"])
     joint = small_join(contexts, alone.select("entity"), "entity").join(bags, "bag").select("entity", F.explode("words").alias("term"))
     joint = stage(joint.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support), "pii-joint")
-    counts = docs.select(F.explode(F.array_distinct(terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    both = joint.join(counts, "term").join(alone, "entity").join(F.broadcast(total))
-    p_e = F.col("n_entity") / F.col("n")
-    given = (F.col("both") + p_e) / (F.greatest("n_term", "both") + 1)
+    every = docs.select(words.alias("words")).select(_bag(F.col("words")).alias("bag"), F.explode_outer("words").alias("term"))
+    pairs = stage(every.select("bag", F.xxhash64("term").alias("t")).distinct(), "pii-pairs")
+    total = pairs.select("bag").distinct().count()
+    counts = pairs.groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
+    both = joint.withColumn("t", F.xxhash64("term")).join(counts, "t").join(alone, "entity")
+    p_e = F.col("n_entity") / F.lit(float(max(1, total)))
+    given = (F.col("both") + p_e) / (F.col("n_term") + 1)
     information, mutual = -F.log2(p_e), F.log2(given / p_e)
-    share = F.when(information > 0, F.least(mutual / information, F.lit(1.0))).otherwise(F.lit(0.0))
+    share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
     return both.select("entity", "term", share.alias("share")).filter(F.col("share") >= least)
 
 
@@ -167,7 +180,11 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans."""
+    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans.
+
+    Null counts as an empty text, without spans; repeated rows each get a row; an empty table gives none; other columns are
+    ignored. Whole texts are read.
+    """
     rows = find(docs, **options)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     extra = F.array_sort(F.transform("extra", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
@@ -178,7 +195,8 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """doc_id and text with every span replaced: entities by their kind, generalised terms by ``[context]``, others by nothing.
 
-    Where spans overlap, the one that starts first (of those, the longest) is replaced and the others go with it.
+    Where spans overlap, the one that starts first (of those, the longest) is replaced and the others go with it. A null text
+    becomes an empty one, repeated rows each get a row, an empty table gives none, and other columns are left out.
     """
     rows = find(docs, whole=True, **options)
     spans = F.array_sort(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))), F.transform("extra", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind")))))
