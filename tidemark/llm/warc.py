@@ -59,9 +59,9 @@ def latest(records: DataFrame, blocks: int | None = None) -> DataFrame:
 
 
 def _lowered(headers: Column) -> Column:
-    """Names in lower case; of names that differ by case alone the last counts. Null is no header."""
+    """Names in lower case; of names that differ by case alone the greatest value counts. Null is no header."""
     entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
-    low = F.transform(entries, lambda x: F.struct(F.lower(x["key"]).alias("key"), x["value"].alias("value")))
+    low = F.array_sort(F.transform(entries, lambda x: F.struct(F.lower(x["key"]).alias("key"), x["value"].alias("value"))))
     return F.map_from_entries(F.filter(low, lambda x, i: ~F.exists(F.slice(low, i + 2, F.size(low)), lambda y: y["key"] == x["key"])))
 
 
