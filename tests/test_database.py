@@ -1,6 +1,8 @@
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.selector import parse
 from tidemark.plans.database import Config, Database
@@ -149,4 +151,126 @@ def test_stream(spark, tmp_path):
         start(db, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "s", str(tmp_path / "ck"), once=True).awaitTermination()
     assert values(db, "m") == [(0, 0.0), (1, 1.0)]
     db.append([("__name__", "m")], [(5, 5.0)])
-    assert not db.flush(("s", 1)) and len(values(db, "m")) == 3  # a batch that is in already
+    again = spark.createDataFrame([([("__name__", "m")], 1, 1.0)], schema)
+    assert not db.write_batch(again, ("s", 1)) and len(values(db, "m")) == 3  # a batch that is in already
+
+
+def test_a_stream_batch_is_in_once_whatever_fails(spark, tmp_path, monkeypatch):
+    schema = "labels array<struct<name:string,value:string>>, ts_ms bigint, value double"
+    batch = spark.createDataFrame([([("__name__", "m")], k, float(k)) for k in range(5)], schema)
+    db = Database(spark, str(tmp_path))
+    monkeypatch.setattr(db, "_publish", lambda change: (_ for _ in ()).throw(OSError("disk")))
+    with pytest.raises(OSError):
+        db.write_batch(batch, ("s", 0))
+    monkeypatch.undo()
+    assert values(db, "m") == [] and not db.flush()  # nothing is left in the buffer, so a flush in between adds nothing
+    assert db.write_batch(batch, ("s", 0)) and len(values(db, "m")) == 5
+    db.append(labels("m", "x"), [(9, 9.0)])
+    staged = db._staged
+
+    def flushed_between(samples):
+        out = staged(samples)
+        db.flush()
+        return out
+
+    monkeypatch.setattr(db, "_staged", flushed_between)
+    assert db.write_batch(batch, ("s", 1)) and len(values(db, "m")) == 11
+    monkeypatch.undo()
+    again = Database(spark, str(tmp_path))  # a restart repeats the last batch
+    assert not again.write_batch(batch, ("s", 1)) and len(values(again, "m")) == 11
+    assert again.write_batch(batch.limit(0), ("s", 2)) and not again.write_batch(batch, ("s", 2))
+
+
+def test_replaced_files_and_index_go(spark, tmp_path):
+    from tidemark.plans import database
+
+    db = Database(spark, str(tmp_path), Config(merge_threshold=2, grace_seconds=0))
+    for k in range(2):
+        db.append(labels("m", "a"), [(k, 1.0), (DAY, 1.0)])
+        db.flush()
+    assert [p.tier for p in db.parts()] == ["big", "big"]
+    assert len(db.files.names("blocks")) == len(db.files.names("data")) == 1 and db.files.names("staged") == []
+    assert len(db.apply_retention(1, 2 * DAY)) == 1 and sum("day=19700101" in n for b in db.files.names("inverted") for n in db.files.names(f"inverted/{b}")) == 0
+    assert values(db, "m") == [(DAY, 1.0)] * 2
+    old, database.FOLDERS = database.FOLDERS, 2
+    try:
+        for k in range(4):
+            db.append(labels("m", f"new{k}"), [(DAY, 2.0)])
+            db.flush()
+    finally:
+        database.FOLDERS = old
+    assert len(db._commit["series"]) <= 3 and db.series().count() == 5 and len(values(db, "m")) == 6
+    assert values(Database(spark, str(tmp_path)), 'm{job="new2"}') == [(DAY, 2.0)]
+
+
+def test_queries_read_the_index_and_prune(spark, tmp_path):
+    db = Database(spark, str(tmp_path))
+    db.append_many([(labels("m", f"j{k}"), [(d * DAY, 1.0) for d in range(3)]) for k in range(20)])
+    db.flush()
+    days_of = lambda frame: {f.split("day=")[1].split("/")[0] for f in frame.inputFiles() if "day=" in f}
+    index = db.inverted(lambda day: day == "19700102").filter("name = 'job' and value = 'j3'")
+    assert "EqualTo(name,job)" in index._jdf.queryExecution().executedPlan().toString() and days_of(index) == {"19700102"}
+    rows = db.query_range('m{job="j3"}', DAY, DAY + 5)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert days_of(rows) == {"19700102"} and "GreaterThanOrEqual(ts_ms" in plan
+    assert re.search(r"series_id#\d+L = 4\)", plan)  # the number reaches the scan
+    assert "SinglePartition" not in db.match(parse("m"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbering_is_dense_and_dealt_out(spark):
+    from tidemark.operators import registry
+
+    found = spark.range(3000).select(F.format_string("k%05d", "id").alias("canonical_key"), F.array().cast("array<struct<name:string,value:string>>").alias("labels"))
+    known = found.limit(0)
+    got = registry.resolve_new(found, known, 7)
+    assert [(r[0], r[1]) for r in got.orderBy("series_id").collect()] == [(8 + i, f"k{i:05d}") for i in range(3000)]
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_commit_has_one_writer(spark, tmp_path):
+    import threading
+
+    from tidemark.sources.files import Files
+
+    files, won = Files(spark, str(tmp_path)), []
+    threads = [threading.Thread(target=lambda k=k: won.append((files.create("commits/1.json", str(k)), k))) for k in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert [files.read("commits/1.json")] == [str(k) for ok, k in won if ok] and files.names("commits") == ["1.json"]
+
+
+def test_background_work_and_replies_survive_failures(spark, tmp_path, monkeypatch):
+    db = Database(spark, str(tmp_path), Config(retention_seconds=0.02, retention_days=1))
+    turns = []
+
+    def fails_once(days, now):
+        turns.append(now)
+        if len(turns) == 1:
+            raise OSError("disk")
+
+    monkeypatch.setattr(db, "apply_retention", fails_once)
+    stop = db.start_retention(lambda: NOW)
+    while len(turns) < 3:
+        stop.wait(0.01)
+    stop.set()
+    for name in ("flush", "force_merge", "query_stats"):
+        monkeypatch.setattr(db, name, lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    for method, target in (("POST", "/internal/force_flush"), ("POST", "/internal/force_merge"), ("GET", "/api/v1/query_range?query=m&start=0&end=1")):
+        assert http.respond(db, method, target, b"")[0] == 500
+
+
+def test_inspect_command(spark, tmp_path):
+    import io
+
+    from tidemark.sources import inspect
+
+    db = Database(spark, str(tmp_path))
+    db.append_many([(labels("m", f"j{k}"), [(1000 * t, t / 2) for t in range(30)]) for k in range(2)])
+    db.flush()
+    run = lambda *args: (out := io.StringIO(), inspect.main([*args, "--data", str(tmp_path)], out, spark))
+    out, code = run("19700101/000001")
+    assert code == 0 and out.getvalue().count("(30 samples)") == 2 and "  last:  1970-01-01T00:00:29Z = 14.5" in out.getvalue()
+    out, code = run("19700101/000001", "--samples", "--series", "2")
+    assert code == 0 and out.getvalue().count(" = ") == 0 and "... (10 more)" in out.getvalue() and out.getvalue().count("1970-01-01T00:00:") == 22
+    assert "more)" not in run("19700101/000001", "--samples", "--limit", "0")[0].getvalue()
+    assert run("19700101/000009")[1] == 1 and run("x")[1] == 2 and run("19700101/000001", "--nothing")[1] == 2

@@ -27,5 +27,5 @@ def test_entry(spark):
 
 
 def test_range_query_is_pruned_before_its_join(spark):
-    plan = QUERIES["query_range_metric"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    assert "CartesianProduct" not in plan
+    plan = QUERIES["query_range_metric"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "PushedFilters: [IsNotNull(event_type)" in plan

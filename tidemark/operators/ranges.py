@@ -26,10 +26,16 @@ def in_range(points: DataFrame, start_ms: int, end_ms: int, day: bool = False) -
     return rows
 
 
-def of_series(points: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Samples of the wanted series: a pushed-down list for a few, a semi-join (broadcast if small) for many."""
+def few_ids(wanted: DataFrame) -> list[int] | None:
+    """The wanted numbers, if there are at most ``PUSHED_IDS``."""
     few = [r[0] for r in wanted.select("series_id").limit(PUSHED_IDS + 1).collect()]
-    if len(few) <= PUSHED_IDS:
+    return few if len(few) <= PUSHED_IDS else None
+
+
+def of_series(points: DataFrame, wanted: DataFrame, few: list[int] | None | bool = True) -> DataFrame:
+    """Samples of the wanted series: a pushed-down list for a few (given, or found out), a semi-join (broadcast if small) for many."""
+    few = few_ids(wanted) if few is True else few
+    if few is not None:
         return points.filter(F.col("series_id").isin(few)) if few else points.limit(0)
     ids = wanted.select("series_id")
     fits = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -43,8 +49,13 @@ def ordered(points: DataFrame) -> DataFrame:
 
 def select(points: DataFrame, wanted: DataFrame, start_ms: int, end_ms: int, day: bool = False) -> DataFrame:
     """series_id, metric, labels, ts_ms, value: labels come last, after everything is pruned."""
-    rows = of_series(in_range(points, start_ms, end_ms, day), wanted).select("series_id", "ts_ms", "value")
     names = wanted.select("series_id", label(F.col("labels"), NAME).alias("metric"), "labels")
+    some = names.limit(PUSHED_IDS + 1).collect()
+    if len(some) <= PUSHED_IDS:  # found out once: for the filter, and as the labels
+        few, names = [r["series_id"] for r in some], F.broadcast(points.sparkSession.createDataFrame(some, names.schema))
+    else:
+        few = None
+    rows = of_series(in_range(points, start_ms, end_ms, day), wanted, few).select("series_id", "ts_ms", "value")
     return ordered(rows.join(names, "series_id").select("series_id", "metric", "labels", "ts_ms", "value"))
 
 
@@ -53,7 +64,7 @@ def _entries(labels: pd.Series, samples: pd.Series) -> pd.Series:
 
     def one(own, points) -> str:
         metric = {x["name"]: x["value"] for x in own}
-        return json.dumps({"metric": dict(sorted(metric.items())), "values": [[p["ts_ms"] / 1000, shortest(p["value"])] for p in points]}, ensure_ascii=False, separators=(",", ":"))
+        return json.dumps({"metric": dict(sorted(metric.items())), "values": [[p["ts_ms"] / 1000 if p["ts_ms"] % 1000 else p["ts_ms"] // 1000, shortest(p["value"])] for p in points]}, ensure_ascii=False, separators=(",", ":"))
 
     return pd.Series([one(a, b) for a, b in zip(labels, samples)])
 
@@ -102,4 +113,4 @@ def first_samples(points: DataFrame, limit: int = 20) -> DataFrame:
     rows = points.select("series_id", "ts_ms", "value", F.row_number().over(by.orderBy("ts_ms", "value")).alias("at"), F.count(F.lit(1)).over(by).alias("n"))
     rows = rows.filter(F.col("at") <= limit) if limit > 0 else rows
     more = F.greatest(F.col("n") - limit, F.lit(0)) if limit > 0 else F.lit(0)
-    return rows.select("series_id", F.col("at").cast("bigint").alias("at"), "ts_ms", "value", more.cast("bigint").alias("more"))
+    return rows.select("series_id", F.col("at").cast("bigint").alias("at"), "ts_ms", "value", more.cast("bigint").alias("more"), "n")

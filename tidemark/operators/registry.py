@@ -7,6 +7,7 @@ row number over those keys alone, never over samples, extends the numbering.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,10 +23,38 @@ def keys(samples: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["canonical_key"])
 
 
+#: Ranges of keys that are numbered side by side.
+RANGES = 64
+
+
 def resolve_new(found: DataFrame, known: DataFrame, after: int) -> DataFrame:
-    """series_id, canonical_key, labels of the keys in ``found`` that ``known`` lacks, numbered after ``after`` in key order."""
+    """series_id, canonical_key, labels of the keys in ``found`` that ``known`` lacks, numbered after ``after`` in key order.
+
+    The keys with the least hashes are a sample that gives the ends of ranges. Ranges are counted, and each is numbered by
+    itself from where the ones before it end, so no task sees all keys. Fewer keys than ranges are one range.
+    """
     new = found.join(known.select("canonical_key"), "canonical_key", "left_anti")
-    return new.select((F.row_number().over(W.orderBy("canonical_key")) + F.lit(after).cast("bigint")).alias("series_id"), "canonical_key", "labels")
+    sample = sorted(r[0] for r in new.select("canonical_key").orderBy(F.xxhash64("canonical_key"), "canonical_key").limit(RANGES * 4).collect())
+    ends = sample[4::4] if len(sample) == RANGES * 4 else []
+    if not ends:
+        return new.select((F.row_number().over(W.orderBy("canonical_key")) + F.lit(after).cast("bigint")).alias("series_id"), "canonical_key", "labels")
+    place = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("canonical_key")))
+    rows = new.withColumn("_range", place)
+    counts = dict(rows.groupBy("_range").agg(F.count(F.lit(1))).collect())  # one number per range
+    starts = [after]
+    for k in range(len(ends)):
+        starts.append(starts[-1] + counts.get(k, 0))
+    start = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in starts]), F.col("_range") + 1)
+    own = F.row_number().over(W.partitionBy("_range").orderBy("canonical_key"))
+    return rows.select((start + own).alias("series_id"), "canonical_key", "labels")
+
+
+def with_keys(series: DataFrame, keys: list[str]) -> DataFrame:
+    """The series with one of the keys; a few keys reach the scan."""
+    if len(keys) <= 1000:
+        return series.filter(F.col("canonical_key").isin(keys))
+    wanted = series.sparkSession.createDataFrame([(k,) for k in keys], "canonical_key string")
+    return series.join(wanted, "canonical_key", "left_semi")
 
 
 def max_id(series: DataFrame) -> int:
@@ -56,9 +85,11 @@ def unindexed(pairs: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def match(index: DataFrame, matchers: list[Matcher]) -> DataFrame:
-    """series_id of the series that all matchers hold for, on any day of the index."""
-    each = [index.filter((F.col("name") == m.name) & (F.col("value") == m.value)).select("series_id").distinct() for m in matchers]
-    return reduce(lambda a, b: a.intersect(b), each)
+    """series_id of the series that all matchers hold for, on any day of the index: one scan, whatever the number of matchers."""
+    wanted = sorted({(m.name, m.value) for m in matchers})
+    own = reduce(or_, ((F.col("name") == n) & (F.col("value") == v) for n, v in wanted))
+    rows = index.filter(own).select("series_id", "name", "value").distinct()
+    return rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(wanted)).select("series_id")
 
 
 def matching(series: DataFrame, matchers: list[Matcher]) -> DataFrame:

@@ -35,6 +35,8 @@ def respond(db: Database, method: str, target: str, body: bytes) -> tuple[int, d
         return error.status, {}, f"{error}\n".encode()
     except (BadRequest, SelectorError) as error:
         return 400, {}, f"{error}\n".encode()
+    except Exception as error:  # the client hears of it, and the server goes on
+        return 500, {}, f"{error}\n".encode("utf-8", "replace")
 
 
 def _posted(method: str, body: bytes) -> None:

@@ -1,7 +1,8 @@
-"""Streaming ingest: every micro-batch becomes one flush.
+"""Streaming ingest: every micro-batch becomes one commit.
 
-The batch's number is part of the commit that makes it visible, so a batch that Spark runs again after a failure is
-dropped: exactly once from the source's checkpoint to the parts. There are no watermarks; samples of any
+A batch goes past the buffer to parts of its own, and its number is part of the commit that makes them visible. A batch
+that fails leaves nothing behind, one that Spark runs again after its commit is dropped, and flushes in between don't touch
+it: exactly once from the source's checkpoint to the parts. There are no watermarks; samples of any
 age land in the part of their own day. Unlike the buffer of ``Database.append``, a batch is visible once
 it is committed.
 """
@@ -15,12 +16,10 @@ from ..plans.database import Database
 
 
 def start(db: Database, stream: DataFrame, name: str, checkpoint: str, seconds: float | None = None, once: bool = False) -> StreamingQuery:
-    """Flushes (labels, ts_ms, value) rows of a stream; ``once`` takes what is there and stops."""
+    """Commits (labels, ts_ms, value) rows of a stream; ``once`` takes what is there and stops."""
 
     def flush(batch: DataFrame, number: int) -> None:
-        if db._commit["batches"].get(name, -1) < number:
-            db.ingest(batch)
-            db.flush((name, number))
+        db.write_batch(batch, (name, number))
 
     writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(flush)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds or db.config.flush_seconds} seconds")
