@@ -128,45 +128,46 @@ def test_toxicity_reads_long_tokens_to_their_end():
     assert scorer.scores([signs(500) + "\u9000\u9001\u9002\u9003" + signs(50)])[0] > scorer.scores([signs(550)])[0]
 
 
-def brute_lm(docs, target, least):
+def brute_lm(docs, target, classes):
     split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     own = {i: split.findall("".join(c.lower() if c.isascii() else c for c in t or "")) for i, t in docs}
     total = collections.Counter(w for ws in own.values() for w in ws)
-    vocab = {w: n for w, n in total.items() if n >= least}
-    known = lambda w: w if w in vocab else None
-    pairs = {i: list(zip(["<s>", *ws], ws)) for i, ws in own.items()}
-    every = collections.Counter(p for ps in pairs.values() for p in ps)
-    kept = {p for p, n in every.items() if n >= least}
-    size = sum(total.values())
-    shared = collections.Counter(known(w) for ws in own.values() for w in ws)
-    floor = lambda w: (shared[known(w)] + 1) / (size + len(vocab) + 1)
+    counts = sorted(total.values(), reverse=True)
+    least = counts[classes] if len(counts) > classes else 0
+    of = lambda w: w if total[w] > least else None
+    size, shared = sum(total.values()), collections.Counter()
+    for w, n in total.items():
+        shared[of(w)] += n
+    width = sum(n > least for n in total.values()) + 1
 
     def model(ids):
-        two = collections.Counter(p for i in ids for p in pairs[i])
-        one, head = collections.Counter(), collections.Counter()
-        for (a, b), n in two.items():
-            one[known(b)] += n
-            head[a] += n
-        share = lambda p: lm.WEIGHT * two[p] / head[p[0]] if head[p[0]] else 0.0
-        mass = collections.Counter()
-        for p in kept:
-            mass[p[0]] += share(p)
+        words, one, two, head = (collections.Counter() for _ in range(4))
+        for i in ids:
+            for a, b in zip(["<s>", *own[i]], own[i]):
+                a = a if a == "<s>" else of(a)
+                words[b] += 1
+                one[of(b)] += 1
+                two[a, of(b)] += 1
+                head[a] += 1
         n = sum(one.values())
-        uni = lambda w: (1 - lm.FLOOR) * one[known(w)] / n + lm.FLOOR * floor(w) if n else floor(w)
-        return lambda p: -math.log((share(p) if p in kept else 0.0) + (1 - mass[p[0]]) * uni(p[1]))
+        floor = lambda k: (shared[k] + 1) / (size + width)
+        uni = lambda k: (1 - lm.FLOOR) * one[k] / n + lm.FLOOR * floor(k) if n else floor(k)
+        step = lambda a, k: lm.WEIGHT * two[a, k] / head[a] + (1 - lm.WEIGHT) * uni(k) if head[a] else uni(k)
+        inside = lambda w: 1.0 if of(w) else (1 - lm.FLOOR) * words[w] / one[None] + lm.FLOOR * total[w] / shared[None] if one[None] else total[w] / shared[None]
+        return lambda a, w: -math.log(step(a if a == "<s>" else of(a), of(w)) * inside(w))
 
-    t, b = model([i for i in pairs if i in target]), model([i for i in pairs if i not in target])
-    return {i: (len(ps), sum(map(t, ps)) / max(1, len(ps)), sum(map(b, ps)) / max(1, len(ps))) for i, ps in pairs.items()}
+    t, b = model([i for i in own if i in target]), model([i for i in own if i not in target])
+    return {i: (len(ws), *(sum(f(x, y) for x, y in zip(["<s>", *ws], ws)) / max(1, len(ws)) for f in (t, b))) for i, ws in own.items()}
 
 
 def test_lm_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(1).alias("score")).unionByName(spark.createDataFrame([(10001, None, 1), (10002, "!!", 1), (10003, "word " * 20000, 1)], "doc_id bigint, text string, score int"))
     target = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1")
     ids = {r["doc_id"] for r in target.collect()}
-    # All entries in the broadcast table, some, and none: the shuffle must give the same for the rest.
-    for least, frequent in ((2, 1e-5), (2, 1e-3), (3, 0.9)):
-        want = brute_lm([(r["doc_id"], r["text"]) for r in docs.collect()], ids, least)
-        got = lm.scores(docs, target, least=least, frequent=frequent).collect()
+    # All words in the broadcast table, some, and none: the shuffle must give the same for the rest.
+    for classes, frequent in ((1000, 1e-9), (50, 1e-4), (0, 0.9), (2000, 1e-5)):
+        want = brute_lm([(r["doc_id"], r["text"]) for r in docs.collect()], ids, classes)
+        got = lm.scores(docs, target, classes=classes, frequent=frequent).collect()
         assert len(got) == docs.count()
         for r in got:
             n, t, b = want[r["doc_id"]]
