@@ -15,7 +15,7 @@ STAGES = [
     ("pack_tokens", steps.pack_tokens),
 ]
 
-#: No SQL can train a classifier or run a tokenizer; tests/llm holds the stages against brute force.
+#: No SQL can train a classifier or run a tokenizer; tests/llm holds the operators against brute force, held-out labels and round trips.
 ORACLE_SQL = None
 
 
