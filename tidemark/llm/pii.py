@@ -138,7 +138,8 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, least:
     bags = named.select("bag", "words").dropDuplicates(["bag"])
     joint = small_join(contexts, alone.select("entity"), "entity").join(bags, "bag").select("entity", F.explode("words").alias("term"))
     joint = stage(joint.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support), "pii-joint")
-    every = docs.select(words.alias("words")).select(_bag(F.col("words")).alias("bag"), F.explode_outer("words").alias("term"))
+    # The bag is a column before words are exploded: beside the explode it would be sorted anew for every word.
+    every = docs.select(words.alias("words")).withColumn("bag", _bag(F.col("words"))).select("bag", F.explode_outer("words").alias("term"))
     pairs = stage(every.select("bag", F.xxhash64("term").alias("t")).distinct(), "pii-pairs")
     total = pairs.select("bag").distinct().count()
     counts = pairs.groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
