@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_join, stage
+from .shared import BROADCAST_ROWS, fits, small_join, stage
 
 #: The patterns by kind, in the order of the output. They find what the plain patterns find (e-mail
 #: ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+`` and so on) but never go back over what they have read, so
@@ -93,10 +93,11 @@ def spans_of(text: Column, kind: str, pattern: str) -> Column:
     return F.when(text.rlike(pattern), made).otherwise(nothing)
 
 
-def base(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns of all documents, _row (a number of the row), and one array of spans per kind."""
+def base(docs: DataFrame, *keep: str, **more: Column) -> DataFrame:
+    """``keep`` and ``more`` columns of all documents, _row (a number of the row), and one array of spans per kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(*keep, F.monotonically_increasing_id().alias("_row"), *[spans_of(text, k, p).alias(f"s_{k}") for k, p in PATTERNS.items()])
+    more = [c.alias(n) for n, c in more.items()]
+    return docs.select(*keep, *more, F.monotonically_increasing_id().alias("_row"), *[spans_of(text, k, p).alias(f"s_{k}") for k, p in PATTERNS.items()])
 
 
 def _entities(spans: Column) -> Column:
@@ -116,35 +117,50 @@ def _plain(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
 
 
+def _words() -> Column:
+    """The words of the text, each once."""
+    return F.array_distinct(terms(_plain(F.col("text"))))
+
+
 def _bag(words: Column) -> Column:
     """The same number for the same set of words, whatever their order."""
-    return F.xxhash64(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.xxhash64(F.sort_array(F.transform(words, lambda w: F.xxhash64(w))))
+
+
+def _term_counts(docs: DataFrame, sizes: DataFrame, rows: int) -> DataFrame:
+    """t (hash of a term), n_term: the bags with the term. ``sizes``: bag and n, the rows with it.
+
+    A bag of one row is counted where it is read. Of bags that copies repeat, as long as they fit a broadcast, term and bag
+    meet once after copies were combined map-side; beyond it each bag's words move once, combined map-side as well.
+    """
+    repeated = sizes.filter("n > 1").select("bag", F.col("bag").alias("copies"))
+    every = docs.select(_words().alias("words")).withColumn("bag", _bag(F.col("words")))
+    t = F.transform("words", lambda w: F.xxhash64(w))
+    if not fits(repeated, rows):
+        return every.dropDuplicates(["bag"]).select(F.explode(t).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
+    told = every.join(F.broadcast(repeated), "bag", "left").select("copies", F.explode(t).alias("t"))
+    told = told.groupBy("t", "copies").agg(F.count(F.lit(1)).alias("n"))
+    return told.groupBy("t").agg(F.sum(F.when(F.col("copies").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, least: float = GENERALISE, rows: int = BROADCAST_ROWS) -> DataFrame:
     """entity, term, share: terms that disclose at least ``least`` of an entity's information.
 
-    ``found`` is what ``base`` gives, with texts. The unit of every count is the bag, a distinct set of words that is the text of
+    ``found`` is what ``base`` gives, with texts and bags. The unit of every count is the bag, a distinct set of words that is the text of
     some document: copies are one bag and no evidence. An entity's probability is the share of bags that
     name it; given a term, it is the share of the term's bags, smoothed by one more bag at the plain odds.
     """
     spans = F.concat(*[F.col(f"s_{k}") for k in PATTERNS])
-    words = F.array_distinct(terms(_plain(F.col("text"))))
-    named = found.filter(F.size(spans) > 0).select(_entities(spans).alias("entities"), words.alias("words"))
-    named = stage(named.withColumn("bag", _bag(F.col("words"))), "pii-named")
+    named = stage(found.filter(F.size(spans) > 0).select("bag", _entities(spans).alias("entities"), _words().alias("words")), "pii-named")
     contexts = named.select(F.explode("entities").alias("entity"), "bag").distinct()
     # Only entities with as many contexts can have a term with them, so the others are left out before words are counted.
     alone = stage(contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support), "pii-alone")
     bags = named.select("bag", "words").dropDuplicates(["bag"])
     joint = small_join(contexts, alone.select("entity"), "entity").join(bags, "bag").select("entity", F.explode("words").alias("term"))
     joint = stage(joint.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support), "pii-joint")
-    # The bag is a column before words are exploded: beside the explode it would be sorted anew for every word.
-    every = docs.select(words.alias("words")).withColumn("bag", _bag(F.col("words"))).select("bag", F.explode_outer("words").alias("term"))
-    pairs = stage(every.select("bag", F.xxhash64("term").alias("t")).distinct(), "pii-pairs")
-    total = pairs.select("bag").distinct().count()
-    counts = pairs.groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
-    both = joint.withColumn("t", F.xxhash64("term")).join(counts, "t").join(alone, "entity")
-    p_e = F.col("n_entity") / F.lit(float(max(1, total)))
+    sizes = stage(found.groupBy("bag").agg(F.count(F.lit(1)).alias("n")), "pii-bags")
+    both = joint.withColumn("t", F.xxhash64("term")).join(_term_counts(docs, sizes, rows), "t").join(alone, "entity")
+    p_e = F.col("n_entity") / F.lit(float(max(1, sizes.count())))
     given = (F.col("both") + p_e) / (F.col("n_term") + 1)
     information, mutual = -F.log2(p_e), F.log2(given / p_e)
     share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
@@ -160,11 +176,13 @@ def find(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE, genera
     text is left out.
     """
     every = F.concat(*[F.col(f"s_{k}") for k in PATTERNS])
-    found = base(docs, "doc_id", "text")
+    found = base(docs, "doc_id", "text", bag=_bag(_words()))
     found = stage(found if whole else found.withColumn("text", F.when(F.size(every) > 0, F.col("text"))), "pii-found")
     telling = disclosing(docs, found, support, generalise)
-    named = found.filter(F.size(every) > 0).select("_row", F.explode(_entities(every)).alias("entity"))
-    pairs = small_join(named, stage(telling, "pii-telling"), "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
+    # An entity's terms can be many, so a row asks for those alone that it holds.
+    named = found.filter(F.size(every) > 0).select("_row", _entities(every).alias("entities"), _words().alias("words"))
+    named = named.select("_row", "words", F.explode("entities").alias("entity")).select("_row", "entity", F.explode("words").alias("term"))
+    pairs = small_join(named, stage(telling, "pii-telling"), ["entity", "term"]).groupBy("_row", "term").agg(F.max("share").alias("share"))
     told = pairs.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_terms"))
     matches = spans_of(F.coalesce(F.col("text"), F.lit("")), "term", TERM)
     rows = small_join(found, stage(told, "pii-told"), "_row", "left")
