@@ -71,21 +71,16 @@ ORACLE_SQL: dict[str, str] = {
     "op5_lm_score": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
         flagged AS (SELECT d.*, CAST(coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), FALSE) AS INT) AS t FROM d),
-        tok AS (SELECT rid, t, CASE WHEN i > 1 THEN ws[i - 1] END AS p, ws[i] AS c FROM (SELECT rid, t, ws, unnest(range(1, len(ws) + 1)) AS i FROM flagged)),
+        tok AS (SELECT rid, t, CASE WHEN i > 1 THEN ws[i - 1] ELSE '<s>' END AS p, ws[i] AS c FROM (SELECT rid, t, ws, unnest(range(1, len(ws) + 1)) AS i FROM flagged)),
         cnt AS (SELECT c, count(*) AS n, sum(t) AS nt, count(*) - sum(t) AS nb FROM tok GROUP BY c),
-        cl AS (SELECT *, CASE WHEN n > coalesce((SELECT n FROM cnt ORDER BY n DESC LIMIT 1 OFFSET 1000), 0) THEN c ELSE '<o>' END AS k FROM cnt),
-        pr AS (SELECT rid, t, coalesce(a.k, '<s>') AS p, b.k, tok.c FROM tok LEFT JOIN cl a ON a.c = tok.p JOIN cl b ON b.c = tok.c),
-        g AS (SELECT p, k, sum(t) AS nt, count(*) - sum(t) AS nb FROM pr GROUP BY p, k),
+        g AS (SELECT p, c, sum(t) AS nt, count(*) - sum(t) AS nb FROM tok GROUP BY p, c),
         head AS (SELECT p, sum(nt) AS ht, sum(nb) AS hb FROM g GROUP BY p),
-        one AS (SELECT k, sum(n) AS n, sum(nt) AS nt, sum(nb) AS nb FROM cl GROUP BY k),
-        al AS (SELECT sum(n)::DOUBLE AS sn, sum(nt)::DOUBLE AS st, sum(nb)::DOUBLE AS sb, count(*) FILTER (k <> '<o>') + 1 AS v FROM one),
-        uni AS (SELECT k, CASE WHEN st > 0 THEN 0.9::DOUBLE * nt / st + 0.1::DOUBLE * (n + 1) / (sn + v) ELSE (n + 1) / (sn + v) END AS pt,
-            CASE WHEN sb > 0 THEN 0.9::DOUBLE * nb / sb + 0.1::DOUBLE * (n + 1) / (sn + v) ELSE (n + 1) / (sn + v) END AS pb FROM one CROSS JOIN al),
-        step AS (SELECT g.p, g.k, -ln(CASE WHEN ht > 0 THEN 0.6::DOUBLE * nt / ht + 0.4::DOUBLE * pt ELSE pt END) AS lt, -ln(CASE WHEN hb > 0 THEN 0.6::DOUBLE * nb / hb + 0.4::DOUBLE * pb ELSE pb END) AS lb
-            FROM g JOIN head USING (p) JOIN uni USING (k)),
-        word AS (SELECT c, CASE WHEN k = '<o>' THEN -ln(CASE WHEN one.nt > 0 THEN 0.9::DOUBLE * cl.nt / one.nt + 0.1::DOUBLE * cl.n / one.n ELSE cl.n::DOUBLE / one.n END) ELSE 0 END AS wt,
-            CASE WHEN k = '<o>' THEN -ln(CASE WHEN one.nb > 0 THEN 0.9::DOUBLE * cl.nb / one.nb + 0.1::DOUBLE * cl.n / one.n ELSE cl.n::DOUBLE / one.n END) ELSE 0 END AS wb FROM cl JOIN one USING (k)),
-        each AS (SELECT rid, count(*) AS n, sum(lt + wt) AS lt, sum(lb + wb) AS lb FROM pr JOIN step USING (p, k) JOIN word USING (c) GROUP BY rid)
+        al AS (SELECT sum(n)::DOUBLE AS sn, sum(nt)::DOUBLE AS st, sum(nb)::DOUBLE AS sb, count(*) + 1 AS v FROM cnt),
+        uni AS (SELECT c, CASE WHEN st > 0 THEN 0.9::DOUBLE * nt / st + 0.1::DOUBLE * (n + 1) / (sn + v) ELSE (n + 1) / (sn + v) END AS pt,
+            CASE WHEN sb > 0 THEN 0.9::DOUBLE * nb / sb + 0.1::DOUBLE * (n + 1) / (sn + v) ELSE (n + 1) / (sn + v) END AS pb FROM cnt CROSS JOIN al),
+        step AS (SELECT g.p, g.c, -ln(CASE WHEN ht > 0 THEN 0.6::DOUBLE * nt / ht + 0.4::DOUBLE * pt ELSE pt END) AS lt, -ln(CASE WHEN hb > 0 THEN 0.6::DOUBLE * nb / hb + 0.4::DOUBLE * pb ELSE pb END) AS lb
+            FROM g JOIN head USING (p) JOIN uni USING (c)),
+        each AS (SELECT rid, count(*) AS n, sum(lt) AS lt, sum(lb) AS lb FROM tok JOIN step USING (p, c) GROUP BY rid)
         SELECT doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(lt / n, 0), 6) + 0.0::DOUBLE AS loss_target, round(coalesce(lb / n, 0), 6) + 0.0::DOUBLE AS loss_background, round(coalesce((lb - lt) / n, 0), 6) + 0.0::DOUBLE AS score
         FROM d LEFT JOIN each USING (rid)""",
     "op7_decontaminate": r"""
