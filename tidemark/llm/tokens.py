@@ -18,6 +18,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -61,15 +62,6 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
     return (each.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32).astype("<u4")
 
 
-class Known(dict):
-    """Ids by piece; those of the batch at hand are found as well."""
-
-    batch: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.batch[piece]
-
-
 class Encoder:
     """Encodes texts as ``Tokenizer.encode`` does, but each distinct piece between spaces only once.
 
@@ -83,39 +75,40 @@ class Encoder:
         settings = json.loads(spec)
         before = settings.get("pre_tokenizer") or {}
         self.piecewise = all(before.get(k) == v for k, v in PIECEWISE.items()) and settings.get("normalizer") is None and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in settings.get("added_tokens", []))
-        self.known = {"": Known(), " ": Known()}
+        self.known: dict[str, bytes] = {}
         self.line = self._raw(["\n"])[0]
         self.marks = dict(zip(MARKS, self._raw(list(MARKS))))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, lead: str, pieces: set[str]) -> Known:
-        """Ids of the pieces, each behind ``lead``. A full store keeps what it has: frequent pieces come early."""
-        known = self.known[lead]
-        new = [p for p in pieces if p not in known]
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not known, each behind a space, or with the line break that it begins with. A full store keeps what it has: frequent pieces come early."""
         # A closing comma or full stop is a piece of its own, so only the word before it is encoded.
-        closed = [p for p in new if p and p[-1] in MARKS and p[-2:-1].isalnum()]
-        apart = set(closed)
-        raw = [p for p in {p[:-1] for p in closed}.union(p for p in new if p not in apart) if p not in known]
-        made = dict(zip(raw, self._raw([lead + p for p in raw]))) if raw else {}
-        made.update((p, (made.get(p[:-1]) or known[p[:-1]]) + self.marks[p[-1]]) for p in closed)
-        if len(known) + len(made) <= REMEMBERED:
-            known.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST)
-        known.batch = made
-        return known
+        closed = {p for p in new if p and p[-1] in MARKS and p[-2:-1].isalnum()}
+        raw = [p for p in {p[:-1] for p in closed} | (new - closed) if p not in self.known]
+        made = dict(zip(raw, self._raw([p[1:] if p[:1] == "\n" else " " + p for p in raw]))) if raw else {}
+        made.update((p, self.line + made[p]) for p in raw if p[:1] == "\n")
+        made.update((p, (made.get(p[:-1]) or self.known[p[:-1]]) + self.marks[p[-1]]) for p in closed)
+        if len(self.known) + len(made) <= REMEMBERED:
+            self.known.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST)
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        lines = [[part.split(" ") for part in t.split("\n")] if self.piecewise and not SPACES.search(t) else None for t in texts]
-        heads, rest = set(), set()
-        for text in lines:
-            for part in text or ():
-                heads.add(part[0])
-                rest.update(part[1:])
-        first, later = self._learn("", heads).__getitem__, self._learn(" ", rest).__getitem__
-        whole = iter(self._raw([t for t, x in zip(texts, lines) if x is None]))
-        return [next(whole) if x is None else self.line.join(first(part[0]) + b"".join(map(later, part[1:])) for part in x) for x in lines]
+        apart = [self.piecewise and not SPACES.search(t) for t in texts]
+        pieces, ends = [], [0]
+        for t in compress(texts, apart):  # a line break before the text makes its first piece like that of any line
+            pieces += f"\n{t}".replace("\n", " \n").split(" ")[1:]
+            ends.append(len(pieces))
+        ids = list(map(self.known.get, pieces))
+        if new := [k for k, known in enumerate(ids) if known is None]:
+            made = self._learn({pieces[k] for k in new})
+            for k in new:
+                ids[k] = made[pieces[k]]
+        joined = (b"".join(ids[a:b])[len(self.line) :] for a, b in pairwise(ends))
+        whole = iter(self._raw([t for t, x in zip(texts, apart) if not x]))
+        return [next(joined if x else whole) for x in apart]
 
 
 class Writer:
