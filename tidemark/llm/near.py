@@ -32,6 +32,8 @@ BANDS, ROWS = 32, 6
 PIVOTS = 2
 #: Elements of a block of members that one task compares.
 BLOCK = 1_000_000
+#: Edges up to which a single task finds the components; more are settled round by round over shuffled tables.
+FEW = 200_000
 
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -150,13 +152,32 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.append(0, np.cumsum(lens)).astype(np.int32), els)], ["nid", "els"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b) to (id, comp): ids hook on to lesser ones, and paths are halved, until no edge joins two components."""
+    both = [[b.column(k).to_numpy() for k in (0, 1)] for b in batches]
+    if not both:
+        return
+    ids, flat = np.unique(np.concatenate([np.concatenate(side) for side in zip(*both)]), return_inverse=True)
+    x, y = np.split(flat, 2)
+    comp = np.arange(len(ids))
+    while (comp[x] != comp[y]).any():
+        least = np.minimum(comp[x], comp[y])
+        for side in (comp[x], comp[y]):
+            np.minimum.at(comp, side, least)
+        while (comp[comp] != comp).any():
+            comp = comp[comp]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[comp])], ["id", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b): id, comp, where comp is the least id of the component; ids without edges are absent.
 
-    Large-star and small-star steps in turn, until nothing changes; every step is written, groups are
-    aggregated to their least member before they are shuffled, and no component is ever gathered.
+    Up to ``FEW`` edges are one task's. More take large-star and small-star steps in turn, until nothing changes; every step is
+    written, groups are aggregated to their least member before they are shuffled, and no component is ever gathered.
     """
     edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "cc")
+    if fits(edges, FEW):
+        return stage(edges.coalesce(1).mapInArrow(_joined, "id bigint, comp bigint"), "cc")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
