@@ -35,6 +35,10 @@ BLOCK = 8192
 END_ID = 0
 #: Pieces of text whose ids a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 1_000_000, 64
+#: Documents, pieces and whole texts that are encoded at once: encodings take many times their ids, and a worker keeps the memory of the most it ever held.
+ROWS, PIECES, WHOLE = 128, 1024, 16
+#: Marks (a power of two) that tell whether a piece was met before.
+MET = 1 << 22
 #: Marks that often close a word.
 MARKS = ",."
 #: Two white-space characters side by side; texts with them are encoded whole.
@@ -76,22 +80,30 @@ class Encoder:
         before = settings.get("pre_tokenizer") or {}
         self.piecewise = all(before.get(k) == v for k, v in PIECEWISE.items()) and settings.get("normalizer") is None and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in settings.get("added_tokens", []))
         self.known: dict[str, bytes] = {}
+        self.met = bytearray(MET)
         self.line = self._raw(["\n"])[0]
         self.marks = dict(zip(MARKS, self._raw(list(MARKS))))
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str], step: int = PIECES) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for k in range(0, len(texts), step) for e in self.tokenizer.encode_batch_fast(texts[k : k + step], add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not known, each behind a space, or with the line break that it begins with. A full store keeps what it has: frequent pieces come early."""
+        """Ids of pieces that are not known, each behind a space, or with the line break that it begins with. Most pieces are met only once, so they are stored the second time. A full store keeps what it has: frequent pieces come early."""
         # A closing comma or full stop is a piece of its own, so only the word before it is encoded.
         closed = {p for p in new if p and p[-1] in MARKS and p[-2:-1].isalnum()}
         raw = [p for p in {p[:-1] for p in closed} | (new - closed) if p not in self.known]
         made = dict(zip(raw, self._raw([p[1:] if p[:1] == "\n" else " " + p for p in raw]))) if raw else {}
         made.update((p, self.line + made[p]) for p in raw if p[:1] == "\n")
         made.update((p, (made.get(p[:-1]) or self.known[p[:-1]]) + self.marks[p[-1]]) for p in closed)
-        if len(self.known) + len(made) <= REMEMBERED:
-            self.known.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST)
+        again = []
+        for p in made:
+            at = hash(p) & (MET - 1)
+            if not self.met[at]:
+                self.met[at] = 1
+            elif len(p) <= LONGEST:
+                again.append(p)
+        if len(self.known) + len(again) <= REMEMBERED:
+            self.known.update((p, made[p]) for p in again)
         return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -107,7 +119,7 @@ class Encoder:
             for k in new:
                 ids[k] = made[pieces[k]]
         joined = (b"".join(ids[a:b])[len(self.line) :] for a, b in pairwise(ends))
-        whole = iter(self._raw([t for t, x in zip(texts, apart) if not x]))
+        whole = iter(self._raw([t for t, x in zip(texts, apart) if not x], WHOLE))
         return [next(joined if x else whole) for x in apart]
 
 
@@ -199,8 +211,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bloc
         task = TaskContext.get()
         part, name, out = f"{folder}/.{task.partitionId():06d}-{task.taskAttemptId()}", f"{task.partitionId():06d}.ids", None
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, ROWS):
+                some = batch.slice(k, ROWS)
                 if out is None:
                     encoder = _encoder(sent.value)
                     store.create_dir(folder, recursive=True)
