@@ -274,3 +274,38 @@ def test_inspect_command(spark, tmp_path):
     assert code == 0 and out.getvalue().count(" = ") == 0 and "... (10 more)" in out.getvalue() and out.getvalue().count("1970-01-01T00:00:") == 22
     assert "more)" not in run("19700101/000001", "--samples", "--limit", "0")[0].getvalue()
     assert run("19700101/000009")[1] == 1 and run("x")[1] == 2 and run("19700101/000001", "--nothing")[1] == 2
+
+
+def test_a_flush_makes_few_files_and_reads_samples_twice(spark, tmp_path):
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            count.add(len(batch))
+            yield batch
+
+    schema = "labels array<struct<name:string,value:string>>, ts_ms bigint, value double"
+    rows = spark.createDataFrame([([("__name__", "m"), ("k", str(i % 40))], i * DAY // 40, float(i)) for i in range(400)], schema)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        db = Database(spark, str(tmp_path))
+        db.ingest(rows.mapInPandas(counted, schema))
+        assert count.value <= 800 and db.files.names("staged") == [db._frames[0][0].split("/")[1]]  # for keys and for samples
+        db.flush()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [f for f in db.blocks().inputFiles() if "day=" in f]
+    assert len(db.days()) == 10 and len(files) <= 10 + 16  # days and ranges, not days times tasks
+    assert len(values(db, 'm{k="3"}')) == 10 and db.inverted().count() == 10 * 40 * 2
+
+
+def test_many_identities_are_not_broadcast(spark):
+    from tidemark.operators import registry
+
+    series = spark.createDataFrame([(1, "a", [("__name__", "m")])], "series_id bigint, canonical_key string, labels array<struct<name:string,value:string>>")
+    samples = spark.createDataFrame([([("__name__", "m")], 1, 1.0)], "labels array<struct<name:string,value:string>>, ts_ms bigint, value double")
+    plans = [registry.with_ids(samples, series, n)._jdf.queryExecution().executedPlan().toString() for n in (1, 1_000_000)]
+    assert "BroadcastHashJoin" in plans[0] and "Broadcast" not in plans[1]

@@ -18,26 +18,44 @@ from .selector import Matcher, condition
 
 
 def keys(samples: DataFrame) -> DataFrame:
-    """Distinct canonical_key and labels of (labels, ...)."""
-    rows = samples.select(canonical_key(F.col("labels")).alias("canonical_key"), sorted_labels(F.col("labels")).alias("labels"))
-    return rows.dropDuplicates(["canonical_key"])
+    """Distinct canonical_key and labels of (labels, ...). Label sets are told apart as they came, so keys are not made for every sample."""
+    own = samples.select("labels").distinct()
+    return own.select(canonical_key(F.col("labels")).alias("canonical_key"), sorted_labels(F.col("labels")).alias("labels")).dropDuplicates(["canonical_key"])
 
 
 #: Ranges of keys that are numbered side by side.
 RANGES = 64
+#: Identities up to which they are broadcast to samples; Spark would judge by the size of compressed files.
+BROADCAST_SERIES = 50_000
+
+
+def sized(series: DataFrame, n: int | None) -> DataFrame:
+    """The series as a side of a join: broadcast if there are few, never if there are many, and as Spark likes if ``n`` is unknown."""
+    if n is None:
+        return series
+    return F.broadcast(series) if n <= BROADCAST_SERIES else series.hint("merge")
+
+
+def unknown(found: DataFrame, known: DataFrame, n: int | None = None) -> DataFrame:
+    """The keys in ``found`` that ``known`` (of about ``n`` rows) lacks."""
+    return found.join(sized(known.select("canonical_key"), n), "canonical_key", "left_anti")
 
 
 def resolve_new(found: DataFrame, known: DataFrame, after: int) -> DataFrame:
-    """series_id, canonical_key, labels of the keys in ``found`` that ``known`` lacks, numbered after ``after`` in key order.
+    """series_id, canonical_key, labels of the keys in ``found`` that ``known`` lacks, numbered after ``after`` in key order."""
+    return number(unknown(found, known), after).select("series_id", "canonical_key", "labels")
+
+
+def number(new: DataFrame, after: int) -> DataFrame:
+    """Rows of distinct canonical_key with a series_id, after ``after`` in key order; they are read three times.
 
     The keys with the least hashes are a sample that gives the ends of ranges. Ranges are counted, and each is numbered by
     itself from where the ones before it end, so no task sees all keys. Fewer keys than ranges are one range.
     """
-    new = found.join(known.select("canonical_key"), "canonical_key", "left_anti")
     sample = sorted(r[0] for r in new.select("canonical_key").orderBy(F.xxhash64("canonical_key"), "canonical_key").limit(RANGES * 4).collect())
     ends = sample[4::4] if len(sample) == RANGES * 4 else []
     if not ends:
-        return new.select((F.row_number().over(W.orderBy("canonical_key")) + F.lit(after).cast("bigint")).alias("series_id"), "canonical_key", "labels")
+        return new.select((F.row_number().over(W.orderBy("canonical_key")) + F.lit(after).cast("bigint")).alias("series_id"), *new.columns)
     place = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("canonical_key")))
     rows = new.withColumn("_range", place)
     counts = dict(rows.groupBy("_range").agg(F.count(F.lit(1))).collect())  # one number per range
@@ -46,7 +64,7 @@ def resolve_new(found: DataFrame, known: DataFrame, after: int) -> DataFrame:
         starts.append(starts[-1] + counts.get(k, 0))
     start = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in starts]), F.col("_range") + 1)
     own = F.row_number().over(W.partitionBy("_range").orderBy("canonical_key"))
-    return rows.select((start + own).alias("series_id"), "canonical_key", "labels")
+    return rows.select((start + own).alias("series_id"), *new.columns)
 
 
 def with_keys(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,16 +79,17 @@ def max_id(series: DataFrame) -> int:
     return series.agg(F.coalesce(F.max("series_id"), F.lit(0))).first()[0]
 
 
-def with_ids(samples: DataFrame, series: DataFrame) -> DataFrame:
-    """series_id, ts_ms, value of (labels, ts_ms, value)."""
+def with_ids(samples: DataFrame, series: DataFrame, n: int | None = None) -> DataFrame:
+    """series_id, ts_ms, value of (labels, ts_ms, value), by series of about ``n`` rows."""
     rows = samples.withColumn("canonical_key", canonical_key(F.col("labels")))
-    return rows.join(series.select("series_id", "canonical_key"), "canonical_key").select("series_id", "ts_ms", "value")
+    return rows.join(sized(series.select("series_id", "canonical_key"), n), "canonical_key").select("series_id", "ts_ms", "value")
 
 
-def inverted(pairs: DataFrame, series: DataFrame) -> DataFrame:
-    """day, name, value, series_id of the (day, series_id) pairs."""
-    rows = pairs.join(series.select("series_id", "labels"), "series_id").select("day", "series_id", F.explode("labels").alias("l"))
-    return rows.select("day", "l.name", "l.value", "series_id").distinct()
+def inverted(pairs: DataFrame, series: DataFrame, n: int | None = None) -> DataFrame:
+    """day, name, value, series_id of distinct (day, series_id) pairs, by series of about ``n`` rows."""
+    own = sized(series.select("series_id", F.array_distinct("labels").alias("labels")), n)
+    rows = pairs.join(own, "series_id").select("day", "series_id", F.explode("labels").alias("l"))
+    return rows.select("day", "l.name", "l.value", "series_id")
 
 
 def postings(index: DataFrame) -> DataFrame:

@@ -177,10 +177,10 @@ def _flushed(spark, sf_dir):
 _databases: dict[tuple, dict] = {}
 
 
-def _flushing(spark, sf_dir, threshold: int) -> tuple[Database, dict[str, int]]:
+def _flushing(spark, sf_dir, threshold: int, version: str) -> tuple[Database, dict[str, int]]:
     """A database of the events in ``FLUSHES`` flushes, made once for a session, and its versions by name.
 
-    With a high threshold, a forced merge and then retention follow.
+    With a high threshold, a forced merge and then retention follow, once a version of theirs is asked for.
     """
     key = spark.sparkContext.applicationId, sf_dir, threshold
     if key not in _databases:
@@ -189,18 +189,21 @@ def _flushing(spark, sf_dir, threshold: int) -> tuple[Database, dict[str, int]]:
             db.ingest(rows.filter(F.col("event_id") % FLUSHES == k).select("labels", "ts_ms", "value"))
             db.flush()
         versions["flushed"] = db.version
-        if threshold > FLUSHES:
-            db.force_merge()
-            versions["merged"] = db.version
-            db.apply_retention(KEEP, NOW)
-            versions["kept"] = db.version
         _databases[key] = {"path": db.files.root, "versions": versions}
     made = _databases[key]
+    if version not in made["versions"]:
+        db = Database(spark, made["path"], Config(merge_threshold=threshold))
+        if "merged" not in made["versions"]:
+            db.force_merge()
+            made["versions"]["merged"] = db.version
+        if version == "kept":
+            db.apply_retention(KEEP, NOW)
+            made["versions"]["kept"] = db.version
     return made["path"], made["versions"]
 
 
 def _at(spark, sf_dir, version: str, threshold: int = 100) -> Database:
-    path, versions = _flushing(spark, sf_dir, threshold)
+    path, versions = _flushing(spark, sf_dir, threshold, version)
     return Database(spark, path, version=versions[version])
 
 
@@ -289,7 +292,7 @@ def retention_forgotten_series(spark, sf_dir):
 @_query(f"WITH {E}, d AS (SELECT DISTINCT day FROM p WHERE day >= '20240121') SELECT (SELECT count(*) FROM s) AS n_series, (SELECT count(*) FROM s) + 1 AS next_id, (SELECT count(*) FROM d) AS n_days, (SELECT min(day) FROM d) AS first_day, 0 AS missing")
 def database_reopened(spark, sf_dir):
     """What a second process finds after merges and retention: identities, the next number, live days in order, and files for all of them."""
-    db = Database(spark, _flushing(spark, sf_dir, 100)[0])
+    db = Database(spark, _flushing(spark, sf_dir, 100, "kept")[0])
     days = db.days()
     missing = sum(not db.files.exists(p.path) for p in db.parts()) + (days != sorted(days))
     return spark.createDataFrame([(db.series().count(), db.append([("__name__", "new")], [(1, 1.0)]), len(days), days[0], missing)], "n_series bigint, next_id bigint, n_days bigint, first_day string, missing int")
@@ -320,7 +323,7 @@ def inspect_command(spark, sf_dir):
 
     out = io.StringIO()
     _at(spark, sf_dir, "flushed")
-    path, versions = _flushing(spark, sf_dir, 100)
+    path, versions = _flushing(spark, sf_dir, 100, "flushed")
     db = Database(spark, path, version=versions["flushed"])
     if inspect.show(db, "20240103", "000001", out=out):
         raise ValueError("no such part")

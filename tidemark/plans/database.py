@@ -29,6 +29,7 @@ from ..operators.selector import Matcher, condition, parse
 from ..sources.files import Files
 
 BLOCKS = "day string, series_id bigint, n bigint, min_ts bigint, max_ts bigint"
+KEYS = "canonical_key string, labels array<struct<name:string,value:string>>"
 INVERTED = "day string, name string, value string, series_id bigint"
 SMALL, BIG = "small", "big"
 #: Files of identities, or of a day's index, that are merged into one; keys that a process remembers; old commits that stay.
@@ -223,18 +224,27 @@ class Database:
         rows = samples.select("labels", F.coalesce("ts_ms", F.lit(0)).cast("bigint").alias("ts_ms"), F.coalesce("value", F.lit(0.0)).cast("double").alias("value"))
         with self._lock:
             name = uuid.uuid4().hex
-            new = registry.resolve_new(registry.keys(rows), self.series(), self._counter)
+            # written in between: else Spark looks every sample up instead of every key, and numbering does it all three times
+            found = self._kept(registry.keys(rows), f"staged/{name}-keys")
+            unknown = self._kept(registry.unknown(found, self.series(), self._counter), f"staged/{name}-new")
+            new = registry.number(unknown, self._counter).select("series_id", "canonical_key", "labels")
             new.write.parquet(self.files.full(f"series/0-{name}"))
             new = self.spark.read.schema(SERIES).parquet(self.files.full(f"series/0-{name}"))
+            for kind in ("keys", "new"):
+                self.files.delete(f"staged/{name}-{kind}")
             last = registry.max_id(new)
             if last:
                 self._counter = last
                 self._fresh_frames.append((f"series/0-{name}", new))
             else:
                 self.files.delete(f"series/0-{name}")
-            registry.with_ids(rows, self.series()).write.parquet(self.files.full(f"staged/{name}"))
+            registry.with_ids(rows, self.series(), self._counter).write.parquet(self.files.full(f"staged/{name}"))
             return f"staged/{name}", self.spark.read.schema(POINTS).parquet(self.files.full(f"staged/{name}"))
 
+    def _kept(self, keys: DataFrame, path: str) -> DataFrame:
+        keys.select("canonical_key", "labels").write.parquet(self.files.full(path))
+        return self.spark.read.schema(KEYS).parquet(self.files.full(path))
+
     # -- flush -----------------------------------------------------------------------------------------
 
     def _buffered(self, points: list, frames: list) -> DataFrame | None:
@@ -291,9 +301,9 @@ class Database:
             new_series.append(f"series/0-{name}")
         made = self._write(rows.withColumn("day", day_of(F.col("ts_ms"))), SMALL, commit)
         days = sorted({p.day for p in made})
-        known = self.inverted(set(days).__contains__).select("day", "series_id").distinct()
-        pairs = registry.unindexed(self._blocks(made).select("day", "series_id"), known)
-        self._write_index(registry.inverted(pairs, series), name)
+        # a series is in a day's index if a part of that day has a block of it; of one part, blocks are distinct pairs
+        pairs, known = (self._leaves("blocks", BLOCKS, own).select("day", "series_id") for own in ([p.blocks for p in made], [p["blocks"] for p in commit["parts"] if p["day"] in days]))
+        self._write_index(registry.inverted(pairs.join(known.hint("merge"), ["day", "series_id"], "left_anti"), series, counter), name)
         indexed = [n.removeprefix("day=") for n in self.files.names(f"inverted/batch={name}") if n.startswith("day=")]
 
         def change(new: dict) -> None:
@@ -337,7 +347,8 @@ class Database:
         rows = rows.repartitionByRange("day", "series_id", "ts_ms").sortWithinPartitions("day", "series_id", "ts_ms")
         rows.write.partitionBy("day").parquet(self.files.full(data))
         written = self.spark.read.schema("series_id bigint, ts_ms bigint, value double, day string").parquet(self.files.full(data))
-        ranges.block_counts(written, "day").write.partitionBy("day").parquet(self.files.full(blocks))
+        counts = ranges.block_counts(written, "day").repartitionByRange("day", "series_id")  # else every task has a file of every day
+        counts.write.partitionBy("day").parquet(self.files.full(blocks))
         meta = ranges.part_meta(self.spark.read.schema(BLOCKS).parquet(self.files.full(blocks)), "day").collect()  # one row per day
         return [
             Part(r["day"], f"{commit['next_part'].get(r['day'], 1):06d}", f"{data}/day={r['day']}", f"{blocks}/day={r['day']}", tier, r["min_ts"], r["max_ts"], r["series_count"], r["samples_count"]) for r in sorted(meta, key=lambda r: r["day"])
