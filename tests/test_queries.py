@@ -29,3 +29,12 @@ def test_entry(spark):
 def test_range_query_is_pruned_before_its_join(spark):
     plan = QUERIES["query_range_metric"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan  # what reaches scans is tested with the database
+
+
+def test_bodies_hold_bounded_rows(spark):
+    from tidemark.sources import remote_write
+
+    plan = QUERIES["remote_write_ingest"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "SinglePartition" not in plan  # a body is made of a batch of rows
+    sent = b"".join(remote_write._message(1, remote_write._message(1, remote_write._message(1, b"__name__"))) for _ in range(2))
+    assert next(remote_write.each(sent + b"\x07")) == ([("__name__", "")], [])  # read before what is damaged behind it

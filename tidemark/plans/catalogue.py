@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -471,17 +472,21 @@ def raw_block_bytes(spark, sf_dir):
 
 @_query(f"WITH {E} SELECT metric, \"user\", ts_ms, value FROM p WHERE metric <> 'event_view'")
 def remote_write_ingest(spark, sf_dir):
-    """Each user's samples as a request body, decoded again; views come without a metric name and are skipped."""
-    rows = _events(spark, sf_dir)
+    """Each series' samples as request bodies, decoded again; views come without a metric name and are skipped.
+
+    A body ends with the batch of rows that it is made of, so no series has to fit one Python value.
+    """
+    rows = _events(spark, sf_dir).select("labels", "ts_ms", "value").repartitionByRange("labels", "ts_ms").sortWithinPartitions("labels", "ts_ms")
+    own = lambda labels: [(x["name"], x["value"]) for x in labels if not (x["name"] == "__name__" and x["value"] == "event_view")]
 
     def bodies(batches):
         import pandas as pd
 
         for batch in batches:
-            yield pd.DataFrame({"content": [remote_write.encode([([(x["name"], x["value"]) for x in labels if not (x["name"] == "__name__" and x["value"] == "event_view")], [(s["ts_ms"], s["value"]) for s in samples])]) for labels, samples in zip(batch["labels"], batch["samples"])]})
+            runs = groupby(zip(map(own, batch["labels"]), batch["ts_ms"].tolist(), batch["value"].tolist()), key=lambda r: r[0])
+            yield pd.DataFrame({"content": [remote_write.encode([(labels, [(t, v) for _, t, v in samples])]) for labels, samples in runs]})
 
-    made = rows.groupBy("labels").agg(F.collect_list(F.struct("ts_ms", "value")).alias("samples")).mapInPandas(bodies, "content binary")
-    back = remote_write.parse_bodies(made)
+    back = remote_write.parse_bodies(rows.mapInPandas(bodies, "content binary"))
     return back.select(label(F.col("labels"), "__name__").alias("metric"), label(F.col("labels"), "user").alias("user"), "ts_ms", "value")
 
 
