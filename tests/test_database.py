@@ -309,3 +309,16 @@ def test_many_identities_are_not_broadcast(spark):
     samples = spark.createDataFrame([([("__name__", "m")], 1, 1.0)], "labels array<struct<name:string,value:string>>, ts_ms bigint, value double")
     plans = [registry.with_ids(samples, series, n)._jdf.queryExecution().executedPlan().toString() for n in (1, 1_000_000)]
     assert "BroadcastHashJoin" in plans[0] and "Broadcast" not in plans[1]
+
+
+def test_stats_look_many_series_up_once(spark, tmp_path, monkeypatch):
+    from tidemark.operators import ranges
+
+    db = Database(spark, str(tmp_path))
+    db.append_many([(labels("m", f"j{k}"), [(d * DAY, 1.0) for d in range(3)]) for k in range(5)])
+    db.flush()
+    db.append(labels("m", "j0"), [(DAY, 1.0)])
+    monkeypatch.setattr(ranges, "PUSHED_IDS", 2)
+    found = db.query_stats("m", DAY, DAY + 5)
+    assert tuple(found.first()) == (1, 5, 5, 6) and stats(db, "none", 0, DAY) == (0, 0, 0, 0)
+    assert found._jdf.queryExecution().executedPlan().toString().count("EqualTo(name,__name__)") <= 3  # once for each of blocks, parts and buffer, and equal exchanges are reused

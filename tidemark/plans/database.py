@@ -170,15 +170,21 @@ class Database:
         return self.spark.read.schema(full).option("basePath", self.files.full(folder)).parquet(*[self.files.full(p) for p in paths])
 
     def match(self, matchers: list[Matcher], days: Callable[[str], bool] = lambda day: True) -> DataFrame:
-        """Findable series that all matchers hold for: by the index of the days, and what is only in the buffer by its labels."""
+        """Findable series that all matchers hold for."""
+        series, ids, few = self._found(matchers, days)
+        if few is not None:  # the numbers reach the scan of the identities
+            return series.filter(F.col("series_id").isin(few)) if few else series.limit(0)
+        return ranges.of_series(series, ids, few=None)
+
+    def _found(self, matchers: list[Matcher], days: Callable[[str], bool] = lambda day: True) -> tuple[DataFrame, DataFrame, list[int] | None]:
+        """All series, the numbers of those that all matchers hold for (by the index of the days, and what is only in the buffer
+        by its labels), and these numbers as a list if they are few."""
         series = self.series()
         ids, memory = registry.match(self.inverted(days), matchers), self._buffered_ids()
         if memory is not None:
             ids = ids.unionByName(series.filter(condition(matchers)).join(memory, "series_id", "left_semi").select("series_id"))
-        few = [r[0] for r in ids.limit(ranges.PUSHED_IDS + 1).collect()]
-        if len(few) <= ranges.PUSHED_IDS:  # the numbers reach the scan of the identities
-            return series.filter(F.col("series_id").isin(few)) if few else series.limit(0)
-        return ranges.of_series(series, ids.distinct(), few=None)
+            ids = ids.distinct()
+        return series, ids, ranges.few_ids(ids)
 
     # -- ingest ----------------------------------------------------------------------------------------
 
@@ -485,12 +491,15 @@ class Database:
         Parts that days or times rule out are not scanned; no matching series, no scan.
         """
         parts, memory = self._snapshot()
-        wanted = self.match(parse(selector))
+        _, ids, few = self._found(parse(selector))
         live = self._in_range(parts, start_ms, end_ms)
-        blocks = ranges.of_series(self._blocks(live), wanted).agg(F.count(F.lit(1)).alias("blocks_scanned"), F.coalesce(F.sum("n"), F.lit(0)).alias("points_scanned"))
-        returned = ranges.of_series(self._scan(parts, memory, start_ms, end_ms), wanted).agg(F.count(F.lit(1)).alias("points_returned"))
-        found = wanted.agg(F.when(F.count(F.lit(1)) > 0, len(live)).otherwise(0).cast("bigint").alias("parts_scanned"))
-        return found.join(F.broadcast(blocks)).join(F.broadcast(returned)).select("parts_scanned", "blocks_scanned", "points_scanned", "points_returned")
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        blocks = self._leaves("blocks", BLOCKS, [p.blocks for p in live]).select("series_id", one.alias("b"), F.col("n").alias("p"), none.alias("r"))
+        points = self._scan(parts, memory, start_ms, end_ms).select("series_id", none.alias("b"), none.alias("p"), one.alias("r"))
+        rows = ranges.of_series(blocks.unionByName(points), ids, few)  # the series are looked up once for both
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        scanned = F.lit(0 if few == [] else len(live)).cast("bigint")
+        return rows.agg(total("b").alias("blocks_scanned"), total("p").alias("points_scanned"), total("r").alias("points_returned")).select(scanned.alias("parts_scanned"), "blocks_scanned", "points_scanned", "points_returned")
 
     def samples(self, start_ms: int, end_ms: int) -> DataFrame:
         """series_id, labels, ts_ms, value of all samples in range, in no order."""
