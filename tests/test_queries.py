@@ -38,3 +38,11 @@ def test_bodies_hold_bounded_rows(spark):
     assert "collect_list" not in plan and "SinglePartition" not in plan  # a body is made of a batch of rows
     sent = b"".join(remote_write._message(1, remote_write._message(1, remote_write._message(1, b"__name__"))) for _ in range(2))
     assert next(remote_write.each(sent + b"\x07")) == ([("__name__", "")], [])  # read before what is damaged behind it
+
+
+def test_series_are_renumbered_by_ranges(spark, monkeypatch):
+    from tidemark.operators import registry
+
+    monkeypatch.setattr(registry, "RANGES", 4)
+    plan = QUERIES["database_round_trip"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
